@@ -6,7 +6,14 @@ from importlib import import_module
 
 from .registry import ORACLE_SQL, QUERIES, Query
 
-_MODULES = ("text_queries", "split_queries", "rollout_queries")
+_MODULES = (
+    "text_queries",
+    "split_queries",
+    "rollout_queries",
+    "token_queries",
+    "latent_queries",
+    "hook_queries",
+)
 
 
 def _load() -> None:

@@ -10,9 +10,6 @@ from ..operators import diversity, evaluate, latents, rollouts
 from . import inputs, oracle as O
 from .registry import query
 
-_GRID_SQL = f"""{O.TRAJECTORIES}"""
-
-
 @query(
     f"""with {O.TRAJECTORIES}, bare as (select o_orderkey as example_id, r as rollout_id, step_id, timestep
       from orders, (select unnest(range({inputs.ROLLOUTS})) as r), grid)
@@ -30,7 +27,7 @@ def cross_rollouts(spark, sf_dir):
     )
 
 
-@query("select vec_id, label, draw_id from embeddings, (select unnest(range(8)) as draw_id)")
+@query("select vec_id, label::bigint as label, draw_id from embeddings, (select unnest(range(8)) as draw_id)")
 def replicate(spark, sf_dir):
     """Eight numbered copies of every vector row."""
     return rollouts.replicate(inputs.table(spark, sf_dir, "embeddings").select("vec_id", "label"), 8)
