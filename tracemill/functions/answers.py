@@ -1,16 +1,13 @@
 """Answer extraction, normalization and matching for LaTeX-flavoured text.
 
-The multi-step functions are lists of named steps. `run_steps` runs them as chained
-projections, which keeps every step inside generated code and evaluates each
-intermediate once; `as_expression` binds the same steps inside one expression, for
-array elements (gold answers) and other places where only a Column fits.
+The multi-step functions are lists of named steps that `run_steps` binds into one expression.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from . import constants as K
 from .text import after_last, as_column, empty_to_null, find_all, last_line, last_match, strip, strip_chars
@@ -47,11 +44,13 @@ def extract_answer(response) -> Column:
 
 def strip_latex(text) -> Column:
     """Delete spacing and sizing commands, unwrap text boxes, write fractions with a slash."""
-    text = as_column(text)
+    raw = text = as_column(text)
     for token in K.LATEX_DELETED:
         text = F.replace(text, F.lit(token), F.lit(""))
     text = F.regexp_replace(text, K.LATEX_UNWRAPPED, "$1")
-    return F.regexp_replace(text, K.LATEX_FRACTION, "$1/$2")
+    text = F.regexp_replace(text, K.LATEX_FRACTION, "$1/$2")
+    # Nothing to do, and no scan per command, without a backslash or dollar sign.
+    return F.when(F.contains(raw, F.lit("\\")) | F.contains(raw, F.lit("$")), text).otherwise(raw)
 
 
 def number_tokens(text) -> Column:
@@ -103,32 +102,27 @@ FINAL_ANSWER_STEPS: list[Step] = [
 
 
 def _number_steps(source: str, prefix: str = "") -> list[Step]:
-    digits, value, number = prefix + "digits", prefix + "literal", prefix + "number"
+    digits, plain, value, number = (prefix + n for n in ("digits", "literal", "value", "number"))
     return [
         (
             digits,
             lambda c: strip(F.rtrim(F.replace(strip(c[source]), F.lit(","), F.lit("")), F.lit("."))),
         ),
-        (value, lambda c: F.replace(c[digits], F.lit("_"), F.lit(""))),
+        (plain, lambda c: F.replace(c[digits], F.lit("_"), F.lit(""))),
         (
-            number,
-            lambda c: _finite(
-                F.when(
-                    c[digits].rlike(_FRACTION_LITERAL),
-                    F.try_divide(
-                        strip(F.substring_index(c[value], "/", 1)).try_cast("double"),
-                        strip(F.substring_index(c[value], "/", -1)).try_cast("double"),
-                    ),
-                ).when(c[digits].rlike(_FLOAT_LITERAL), c[value].try_cast("double"))
+            value,
+            lambda c: F.when(c[digits].rlike(_FLOAT_LITERAL), c[plain].try_cast("double")).when(
+                F.contains(c[digits], F.lit("/")) & c[digits].rlike(_FRACTION_LITERAL),
+                F.try_divide(
+                    strip(F.substring_index(c[plain], "/", 1)).try_cast("double"),
+                    strip(F.substring_index(c[plain], "/", -1)).try_cast("double"),
+                ),
             ),
         ),
+        (number, lambda c: F.when(F.abs(c[value]) < F.lit(float("inf")), c[value])),
     ]
 
 
-def _finite(number: Column) -> Column:
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
-
-
 def whole_number_text(number: Column) -> Column:
     """All digits of an integer-valued double. Above 2^63 the value is split at 2^62 so that
     the decimal arithmetic sees exact parts; above 1e37 only the significant digits survive."""
@@ -136,7 +130,7 @@ def whole_number_text(number: Column) -> Column:
     high = F.floor(number / float(scale))
     exact = high.cast("decimal(19,0)") * F.lit(scale).cast("decimal(19,0)") + (
         number - high.cast("double") * float(scale)
-    ).cast("decimal(19,0)")
+    ).cast("long").cast("decimal(19,0)")
     return (
         F.when(F.abs(number) < 9.0e18, number.cast("long").cast("string"))
         .when(F.abs(number) < 1.0e37, exact.cast("string"))
@@ -185,29 +179,20 @@ NUMBER_STEPS = _number_steps("input")
 NORMAL_NUMBER_STEPS = _number_steps("normal", "normal_")
 
 
-def run_steps(df: DataFrame, source, steps: list[Step], outputs: dict[str, str]) -> DataFrame:
-    """Append step results to a DataFrame; `outputs` maps new column names to step names."""
-    hidden = {name: f"__{name}" for name, _ in steps}
-    kept = [c for c in df.columns if c not in outputs]
-    df = df.withColumn("__input", as_column(source))
-    columns = {"input": F.col("__input")}
-    for name, build in steps:
-        df = df.withColumn(hidden[name], build(columns))
-        columns[name] = F.col(hidden[name])
-    return df.select(*kept, *[columns[step].alias(out) for out, step in outputs.items()])
+def run_steps(source, steps: list[Step], *outputs: str) -> Column:
+    """The value of a step, or a struct of several, as one expression.
 
-
-def as_expression(source, steps: list[Step], output: str | None = None) -> Column:
-    """The same steps as one expression; each intermediate is bound once by a lambda."""
-    output = output or steps[-1][0]
+    Each intermediate is bound once by a lambda over a one-element array. Chained projections would
+    look simpler, but a filter on the result is pushed through them by substitution, which doubles
+    the expression at every step.
+    """
 
     def bind(index: int, bound: dict[str, Column]) -> Column:
+        if all(name in bound for name in outputs):
+            return bound[outputs[0]] if len(outputs) == 1 else F.struct(*[bound[n].alias(n) for n in outputs])
         name, build = steps[index]
-        value = build(bound)
-        if name == output:
-            return value
-        step = F.transform(F.array(value), lambda v: bind(index + 1, {**bound, name: v}))
-        return F.element_at(step, 1)
+        bound_once = F.transform(F.array(build(bound)), lambda v: bind(index + 1, {**bound, name: v}))
+        return F.element_at(bound_once, 1)
 
     return bind(0, {"input": as_column(source)})
 
@@ -216,61 +201,41 @@ def as_expression(source, steps: list[Step], output: str | None = None) -> Colum
 
 
 def extract_final_answer(text) -> Column:
-    return as_expression(text, FINAL_ANSWER_STEPS)
+    return run_steps(text, FINAL_ANSWER_STEPS, "final")
 
 
 def to_number(value) -> Column:
-    return as_expression(value, NUMBER_STEPS)
+    return run_steps(value, NUMBER_STEPS, "number")
 
 
 def normalize_answer(answer) -> Column:
-    return as_expression(answer, NORMALIZE_STEPS)
+    return run_steps(answer, NORMALIZE_STEPS, "normal")
+
+
+def normal_form(answer) -> Column:
+    """struct<normal, number>: the normalized answer and its numeric value."""
+    form = run_steps(answer, NORMALIZE_STEPS + NORMAL_NUMBER_STEPS, "normal", "normal_number")
+    return form.cast("struct<normal:string,number:double>")
 
 
 def gold_forms(targets) -> Column:
-    """array<struct<text,number>>: the normalized non-null targets, computed once per example."""
+    """The normal forms of the non-null targets, computed once per example."""
     present = F.filter(as_column(targets), lambda t: t.isNotNull())
-    texts = F.filter(F.transform(present, lambda t: normalize_answer(t)), lambda t: t.isNotNull())
-    return F.transform(
-        texts, lambda t: F.struct(t.alias("text"), to_number(t).alias("number"))
-    )
+    return F.filter(F.transform(present, lambda t: normal_form(t)), lambda f: f["normal"].isNotNull())
 
 
-def matches_gold(normal, number, gold, atol: float = K.ANSWER_TOLERANCE) -> Column:
-    """True when a normalized prediction equals any gold form, as text or within `atol`."""
-    normal, number, gold = as_column(normal), as_column(number), as_column(gold)
-    hit = F.exists(
-        gold, lambda g: (g["text"] == normal) | F.coalesce(F.abs(g["number"] - number) <= atol, F.lit(False))
+def matches_gold(form, gold, atol: float = K.ANSWER_TOLERANCE) -> Column:
+    """True when the normal form of a prediction equals any gold form, as text or within `atol`."""
+    hit = lambda p: F.exists(
+        as_column(gold),
+        lambda g: (g["normal"] == p["normal"]) | F.coalesce(F.abs(g["number"] - p["number"]) <= atol, F.lit(False)),
     )
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(F.element_at(F.transform(F.array(as_column(form)), hit), 1), F.lit(False))
 
 
 def answers_match(prediction, targets, atol: float = K.ANSWER_TOLERANCE) -> Column:
-    """Column form of the whole comparison; a bare string column may be passed as F.array(col)."""
-    normal = normalize_answer(prediction)
-    step = F.transform(
-        F.array(normal), lambda p: matches_gold(p, to_number(p), gold_forms(targets), atol)
-    )
-    return F.coalesce(F.element_at(step, 1), F.lit(False))
-
-
-# DataFrame forms -------------------------------------------------------------
-
-
-def with_final_answer(df: DataFrame, source, output: str = "final_answer") -> DataFrame:
-    return run_steps(df, source, FINAL_ANSWER_STEPS, {output: "final"})
-
-
-def with_number(df: DataFrame, source, output: str = "number") -> DataFrame:
-    return run_steps(df, source, NUMBER_STEPS, {output: "number"})
-
-
-def with_normalized(df: DataFrame, source, output: str = "normalized", number: str | None = None) -> DataFrame:
-    """Append the normalized answer and, if named, its numeric value."""
-    steps, outputs = NORMALIZE_STEPS, {output: "normal"}
-    if number:
-        steps, outputs = steps + NORMAL_NUMBER_STEPS, {**outputs, number: "normal_number"}
-    return run_steps(df, source, steps, outputs)
+    """The whole comparison; a bare string column may be passed as F.array(col)."""
+    return matches_gold(normal_form(prediction), gold_forms(targets), atol)
 
 
 def target_array(raw) -> Column:

@@ -49,13 +49,16 @@ def natural_order(df: DataFrame, key, buckets: int = RANGE_BUCKETS) -> RowOrder:
     return RowOrder(_bucket_of(key, sorted(set(measured or []))), (key,))
 
 
-def _bucket_of(key: Column, bounds: list, first: int = 0) -> Column:
-    """Number of bounds <= key, by binary search."""
-    if not bounds:
-        return F.lit(first)
-    middle = len(bounds) // 2
-    return F.when(key < bounds[middle], _bucket_of(key, bounds[:middle], first)).otherwise(
-        _bucket_of(key, bounds[middle + 1 :], first + middle + 1)
+def _bucket_of(key: Column, bounds: list) -> Column:
+    """Number of bounds <= key, by binary search over a literal array."""
+    strides = [2**b for b in reversed(range(len(bounds).bit_length()))]
+    if not strides:
+        return F.lit(0)
+    values = F.array(*[F.lit(b) for b in bounds])
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in strides]),
+        F.lit(0),
+        lambda found, stride: F.when(F.get(values, found + stride - 1) <= key, found + stride).otherwise(found),
     )
 
 

@@ -10,12 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import constants as K
-from ..functions.answers import gold_forms, matches_gold, with_normalized
+from ..functions.answers import gold_forms, matches_gold, normal_form
 from ..functions.text import as_column, shard_name
 from ..functions.vectors import trajectory_timesteps
 from .numbering import natural_order, with_position
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition narrow rows by unique keys before a fan-out. Scan splits are sized for the input,
+    not for what the fan-out makes of it; and grouping the many rows by these keys (or by more) later
+    needs no further shuffle. The partition count is explicit because runtime merging would go by the
+    size before the fan-out."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
+
+
 def replicate(df: DataFrame, copies: int, output: str = "draw_id") -> DataFrame:
     """`copies` rows per row, numbered from 0."""
     return df.withColumn(output, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
@@ -52,9 +61,7 @@ def grade(
     atol: float = K.ANSWER_TOLERANCE,
 ) -> DataFrame:
     """Append 1.0 where the text's answer matches any gold form, else 0.0; drops the gold column."""
-    normal = with_normalized(predictions, text, "__normal", "__number")
-    graded = normal.withColumn(output, reward_value(matches_gold("__normal", "__number", gold, atol)))
-    return graded.drop("__normal", "__number", gold)
+    return predictions.withColumn(output, reward_value(matches_gold(normal_form(text), gold, atol))).drop(gold)
 
 
 def grade_against(

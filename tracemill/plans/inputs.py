@@ -9,15 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.text import uniform, words
 from ..functions.tokens import hashed_token_ids
 from ..functions.vectors import trajectory_timesteps
-from ..operators.rollouts import replicate
+from ..operators.rollouts import replicate, spread
+from ..sources.readers import read_table
 
+# Unique keys of the tables whose rows are expensive to process.
+KEYS = {"orders": "o_orderkey", "documents": "doc_id", "embeddings": "vec_id"}
 ROLLOUTS = 8
 STEPS = 5
 STATES = STEPS + 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", KEYS.get(name))
 
 
 def _text(*parts) -> Column:
@@ -53,7 +56,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """example_id, rollout_id, question, target, final_text: eight decoded answers per problem, in
     seven phrasings, right about six times in ten."""
     problems = qa(spark, sf_dir).select(F.col("id").alias("example_id"), "question", "n")
-    drawn = replicate(problems, ROLLOUTS, "rollout_id")
+    drawn = replicate(spread(problems, "example_id"), ROLLOUTS, "rollout_id")
     right = uniform("r", "example_id", "rollout_id") < 0.6
     v = F.when(right, F.col("n")).otherwise(F.col("n") + 1)
     form = (F.col("example_id") + F.col("rollout_id")) % 7
@@ -81,9 +84,8 @@ def vector_count(spark: SparkSession, sf_dir: str) -> Column:
 
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """example_id, rollout_id, step_id, timestep, reward, latent: one row per logged state."""
-    grid = replicate(
-        table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id")), ROLLOUTS, "rollout_id"
-    ).select("*", F.posexplode(trajectory_timesteps(STEPS)).alias("step_id", "timestep"))
+    examples = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"))
+    grid = replicate(spread(examples, "example_id"), ROLLOUTS, "rollout_id").select("*", F.posexplode(trajectory_timesteps(STEPS)).alias("step_id", "timestep"))
     pointer = (F.col("example_id") * 31 + F.col("rollout_id") * 7 + F.col("step_id")) % vector_count(spark, sf_dir)
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("latent"))
     pointed = grid.select(

@@ -7,6 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import tune
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -20,7 +22,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
         @wraps(function)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = function(spark, sf_dir)
+            df = function(tune(spark), sf_dir)
             wide = [F.col(c).cast("bigint") if t == "int" else F.col(c) for c, t in df.dtypes]
             return df.select(*[w.alias(c) for w, c in zip(wide, df.columns)])
 

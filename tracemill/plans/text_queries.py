@@ -238,7 +238,7 @@ def number_tokens(spark, sf_dir):
 @query(f"with {O.TEXTS} select text_id, final as final_answer from ({O.final_answer('texts', 'text')})")
 def final_answer(spark, sf_dir):
     """Final answer of every text."""
-    return A.with_final_answer(inputs.texts(spark, sf_dir), "text").select("text_id", "final_answer")
+    return inputs.texts(spark, sf_dir).select("text_id", A.extract_final_answer("text").alias("final_answer"))
 
 
 @query(
@@ -250,7 +250,7 @@ def final_answer(spark, sf_dir):
 def to_number(spark, sf_dir):
     """Numeric values of all number tokens, summarised per text."""
     tokens = inputs.texts(spark, sf_dir).select("text_id", F.explode(A.number_tokens("text")).alias("token"))
-    valued = A.with_number(tokens, "token", "value")
+    valued = tokens.select("text_id", A.to_number("token").alias("value"))
     return valued.groupBy("text_id").agg(
         F.count(F.lit(1)).alias("tokens"),
         F.count("value").alias("numbers"),
@@ -262,7 +262,7 @@ def to_number(spark, sf_dir):
 @query(f"with {O.TEXTS} select text_id, normal as normalized from ({O.normalized('texts', 'text')})")
 def normalize_answer(spark, sf_dir):
     """Normalized answer of every text."""
-    return A.with_normalized(inputs.texts(spark, sf_dir), "text").select("text_id", "normalized")
+    return inputs.texts(spark, sf_dir).select("text_id", A.normalize_answer("text").alias("normalized"))
 
 
 # Grading ---------------------------------------------------------------------
