@@ -101,25 +101,24 @@ FINAL_ANSWER_STEPS: list[Step] = [
 ]
 
 
-def _number_steps(source: str, prefix: str = "") -> list[Step]:
-    digits, plain, value, number = (prefix + n for n in ("digits", "literal", "value", "number"))
+def _number_steps(source: str) -> list[Step]:
     return [
         (
-            digits,
+            "digits",
             lambda c: strip(F.rtrim(F.replace(strip(c[source]), F.lit(","), F.lit("")), F.lit("."))),
         ),
-        (plain, lambda c: F.replace(c[digits], F.lit("_"), F.lit(""))),
+        ("literal", lambda c: F.replace(c["digits"], F.lit("_"), F.lit(""))),
         (
-            value,
-            lambda c: F.when(c[digits].rlike(_FLOAT_LITERAL), c[plain].try_cast("double")).when(
-                F.contains(c[digits], F.lit("/")) & c[digits].rlike(_FRACTION_LITERAL),
+            "value",
+            lambda c: F.when(c["digits"].rlike(_FLOAT_LITERAL), c["literal"].try_cast("double")).when(
+                F.contains(c["digits"], F.lit("/")) & c["digits"].rlike(_FRACTION_LITERAL),
                 F.try_divide(
-                    strip(F.substring_index(c[plain], "/", 1)).try_cast("double"),
-                    strip(F.substring_index(c[plain], "/", -1)).try_cast("double"),
+                    strip(F.substring_index(c["literal"], "/", 1)).try_cast("double"),
+                    strip(F.substring_index(c["literal"], "/", -1)).try_cast("double"),
                 ),
             ),
         ),
-        (number, lambda c: F.when(F.abs(c[value]) < F.lit(float("inf")), c[value])),
+        ("number", lambda c: F.when(F.abs(c["value"]) < F.lit(float("inf")), c["value"])),
     ]
 
 
@@ -176,7 +175,14 @@ NORMALIZE_STEPS: list[Step] = [
 ]
 
 NUMBER_STEPS = _number_steps("input")
-NORMAL_NUMBER_STEPS = _number_steps("normal", "normal_")
+
+# The value of the normalized text: only numbers print as numbers, rounded as printed.
+NORMAL_NUMBER_STEP: Step = (
+    "normal_number",
+    lambda c: F.when(
+        F.abs(c["number"] - F.rint(c["number"])) < K.INTEGER_TOLERANCE, F.rint(c["number"])
+    ).when(c["number"].isNotNull(), c["normal"].try_cast("double")),
+)
 
 
 def run_steps(source, steps: list[Step], *outputs: str) -> Column:
@@ -214,7 +220,7 @@ def normalize_answer(answer) -> Column:
 
 def normal_form(answer) -> Column:
     """struct<normal, number>: the normalized answer and its numeric value."""
-    form = run_steps(answer, NORMALIZE_STEPS + NORMAL_NUMBER_STEPS, "normal", "normal_number")
+    form = run_steps(answer, [*NORMALIZE_STEPS, NORMAL_NUMBER_STEP], "normal", "normal_number")
     return form.cast("struct<normal:string,number:double>")
 
 

@@ -24,7 +24,7 @@ INTEGER_TOLERANCE = 1e-9
 IGNORED_LABEL = -100
 TRAIN_TIMESTEPS = 1000
 SHARD_ROWS = 4096
-SHARD_NAME_FORMAT = "latents-%06d"
+SHARD_NAME_PREFIX = "latents-"
 MEMORY_SLOTS = 3
 COMPRESSION_RATE = 512
 LATENT_DIM = 128

@@ -75,7 +75,9 @@ def tail_lines(text, count: int) -> Column:
 
 
 def shard_name(shard_id) -> Column:
-    return F.format_string(K.SHARD_NAME_FORMAT, as_column(shard_id))
+    """The shard id with at least six digits behind the fixed prefix."""
+    digits = as_column(shard_id).cast("string")
+    return F.concat(F.lit(K.SHARD_NAME_PREFIX), F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), F.lit("0")))
 
 
 # Randomness ------------------------------------------------------------------

@@ -13,6 +13,7 @@ from ..functions import constants as K
 from ..functions.answers import gold_forms, matches_gold, normal_form
 from ..functions.text import as_column, shard_name
 from ..functions.vectors import trajectory_timesteps
+from .joins import lookup_join
 from .numbering import natural_order, with_position
 
 
@@ -30,10 +31,10 @@ def replicate(df: DataFrame, copies: int, output: str = "draw_id") -> DataFrame:
     return df.withColumn(output, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
 
-def cross_rollouts(examples: DataFrame, rollouts: int, steps: int) -> DataFrame:
+def cross_rollouts(examples: DataFrame, rollouts: int, steps: int, key: str = "example_id") -> DataFrame:
     """The empty fact grid: one row per example, rollout and logged state (steps + 1 states),
     with the state's timestep. Timestep 0 occurs twice, so step_id is the key."""
-    return replicate(examples, rollouts, "rollout_id").select(
+    return replicate(spread(examples, key), rollouts, "rollout_id").select(
         "*", F.posexplode(trajectory_timesteps(steps)).alias("step_id", "timestep")
     )
 
@@ -72,10 +73,9 @@ def grade_against(
     text: str = "final_text",
     output: str = "label",
 ) -> DataFrame:
-    """Grade every prediction against its example's targets. The join is a plain equi-join: Catalyst
-    broadcasts the examples when they measure small, and a hot example is split by AQE otherwise."""
+    """Grade every prediction against its example's targets, which are normalized once."""
     gold = with_gold(examples.select(key, targets), targets).select(key, "gold")
-    return grade(predictions.join(gold, key), text, "gold", output)
+    return grade(lookup_join(predictions, gold, key), text, "gold", output)
 
 
 def rollout_facts(rollouts: DataFrame, steps: int) -> DataFrame:
@@ -103,9 +103,10 @@ def last_step_reward(
     output: str = "lst_reward",
 ) -> DataFrame:
     """Append the reward of the rollout's last state to all of its states. One small value per rollout
-    is aggregated map-side first, so no task has to hold a long rollout."""
+    is aggregated map-side first, so no task has to hold a long rollout, and the log is hashed against
+    these values rather than sorted."""
     last = log.groupBy(*rollout_key).agg(F.max_by(reward, step).alias(output))
-    return log.join(last, list(rollout_key))
+    return log.join(last.hint("shuffle_hash"), list(rollout_key))
 
 
 def best_of_n(

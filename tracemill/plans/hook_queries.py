@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..operators import hooks, rollouts
+from ..operators import corpus, hooks, rollouts
 from . import inputs, oracle as O
 from .registry import query
 
@@ -45,8 +45,8 @@ def tokenize_hook(spark, sf_dir):
 
         return encode
 
-    df = inputs.table(spark, sf_dir, "documents").select("doc_id", hooks.tokenize("text", factory).alias("ids"))
-    return df.filter(F.size("ids") > 0).select(
+    filled = corpus.drop_blank(inputs.table(spark, sf_dir, "documents"), "text")
+    return filled.select("doc_id", hooks.tokenize("text", factory).alias("ids")).select(
         "doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids")
     )
 

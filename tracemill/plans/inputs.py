@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.text import uniform, words
 from ..functions.tokens import hashed_token_ids
 from ..functions.vectors import trajectory_timesteps
+from ..operators.corpus import drop_blank
+from ..operators.joins import lookup_join
 from ..operators.rollouts import replicate, spread
 from ..sources.readers import read_table
 
@@ -93,7 +95,7 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
         (uniform("s", "example_id", "rollout_id", "step_id") < 0.5).cast("double").alias("reward"),
         pointer.alias("vec_id"),
     )
-    return pointed.join(vectors, "vec_id").drop("vec_id")
+    return lookup_join(pointed, vectors, "vec_id").drop("vec_id")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +128,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids: whitespace tokens of whole documents as hashed ids."""
-    return table(spark, sf_dir, "documents").select("doc_id", hashed_token_ids(words("text")).alias("ids")).filter(
-        F.size("ids") > 0
-    )
+    filled = drop_blank(table(spark, sf_dir, "documents"), "text")
+    return filled.select("doc_id", hashed_token_ids(words("text")).alias("ids"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

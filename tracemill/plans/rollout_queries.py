@@ -92,7 +92,7 @@ def _sharded(spark, sf_dir):
 
 @query(
     f"""with {_SHARDS_SQL} select shard, count(*) as rows, min(row) as first_row, max(row) as last_row,
-      count(distinct row) as distinct_rows, sum(row * (step_id + 1))::bigint as weighted, sum(example_id)::bigint as examples
+      sum(row)::bigint as row_sum, sum(row * (step_id + 1))::bigint as weighted, sum(example_id)::bigint as examples
     from sharded group by shard"""
 )
 def shard_assign(spark, sf_dir):
@@ -101,7 +101,7 @@ def shard_assign(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"),
         F.min("row").alias("first_row"),
         F.max("row").alias("last_row"),
-        F.countDistinct("row").alias("distinct_rows"),
+        F.sum("row").alias("row_sum"),
         F.sum(F.col("row") * (F.col("step_id") + 1)).alias("weighted"),
         F.sum("example_id").alias("examples"),
     )
@@ -114,10 +114,10 @@ def shard_assign(spark, sf_dir):
 def pointer_join(spark, sf_dir):
     """Metadata rows with the latents their shard pointers lead to, summed per step."""
     pointers = _sharded(spark, sf_dir).select("example_id", "rollout_id", "step_id", "shard", "row")
-    stored = inputs.trajectories(spark, sf_dir).join(pointers, ["example_id", "rollout_id", "step_id"]).select(
-        "shard", "row", "latent"
-    )
-    resolved = rollouts.resolve_latents(pointers, stored)
+    # Both sides are fanned out, so neither may be broadcast on an estimate.
+    located = inputs.trajectories(spark, sf_dir).join(pointers.hint("merge"), ["example_id", "rollout_id", "step_id"])
+    stored = located.select("shard", "row", "latent")
+    resolved = rollouts.resolve_latents(pointers.hint("merge"), stored)
     weighted = F.sum(F.col("latent")[0].cast("double") * (F.col("rollout_id") + 1))
     return resolved.groupBy("step_id").agg(
         F.count(F.lit(1)).alias("rows"), F.round(weighted * 1e6).cast("long").alias("weighted")
