@@ -19,15 +19,24 @@ def doubles(vector) -> Column:
 
 
 def total(vector) -> Column:
-    return F.aggregate(doubles(vector), _zero(), lambda acc, x: acc + x)
+    return F.aggregate(as_column(vector), _zero(), lambda acc, x: acc + _double(x))
 
 
 def mean(vector) -> Column:
     return F.try_divide(total(vector), F.size(as_column(vector)))
 
 
+def _double(x: Column) -> Column:
+    return x.cast("double")
+
+
+def difference(a, b) -> Column:
+    """a - b in double precision, without widened copies of the inputs."""
+    return F.zip_with(as_column(a), as_column(b), lambda x, y: _double(x) - _double(y))
+
+
 def squared_error(a, b) -> Column:
-    return total(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)))
+    return F.aggregate(difference(a, b), _zero(), lambda acc, d: acc + d * d)
 
 
 def mse(a, b) -> Column:
@@ -35,15 +44,15 @@ def mse(a, b) -> Column:
 
 
 def l2_norm(vector) -> Column:
-    return F.sqrt(F.aggregate(doubles(vector), _zero(), lambda acc, x: acc + x * x))
+    return F.sqrt(F.aggregate(as_column(vector), _zero(), lambda acc, x: acc + _double(x) * _double(x)))
 
 
 def rescale(vector, shift: float, scale: float, mode: str = "encode") -> Column:
     """(z - shift) * scale, or its inverse with mode="decode". Shift 0 is the scale-only form."""
     if mode == "encode":
-        return F.transform(doubles(vector), lambda z: (z - shift) * scale)
+        return F.transform(as_column(vector), lambda z: (_double(z) - shift) * scale)
     if mode == "decode":
-        return F.transform(doubles(vector), lambda z: z / scale + shift)
+        return F.transform(as_column(vector), lambda z: _double(z) / scale + shift)
     raise ValueError(f"unknown rescale mode: {mode}")
 
 
@@ -53,7 +62,7 @@ def noise_like(vector, seed, *keys) -> Column:
 
 def add_noise(vector, noise) -> Column:
     """The live noising rule: plain addition, independent of the timestep."""
-    return F.zip_with(doubles(vector), doubles(noise), lambda x, e: x + e)
+    return F.zip_with(as_column(vector), as_column(noise), lambda x, e: _double(x) + _double(e))
 
 
 def training_target(vector, noise, prediction: str = "flow") -> Column:
@@ -62,7 +71,7 @@ def training_target(vector, noise, prediction: str = "flow") -> Column:
     if prediction == "sample":
         return doubles(vector)
     if prediction == "flow":
-        return F.zip_with(doubles(noise), doubles(vector), lambda e, x: e - x)
+        return difference(noise, vector)
     raise ValueError(f"unknown prediction type: {prediction}")
 
 

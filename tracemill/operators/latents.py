@@ -53,7 +53,7 @@ def step_velocity(
     following = F.lead(latent).over(Window.partitionBy(*rollout_key, "__chunk").orderBy(step))
     paired = copies.withColumn("__next", following).filter("__home = __chunk")
     velocity = F.zip_with(
-        V.doubles(latent), V.doubles("__next"), lambda x, y: (x - y) * F.lit(float(steps))
+        latent, "__next", lambda x, y: (x.cast("double") - y.cast("double")) * F.lit(float(steps))
     )
     moved = paired.withColumn("velocity", F.when(F.col("__next").isNotNull(), velocity))
     return moved.withColumn("velocity_norm", V.l2_norm("velocity")).drop("__home", "__chunk", "__next")

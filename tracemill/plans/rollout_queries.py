@@ -205,20 +205,19 @@ def median_bandwidth(spark, sf_dir):
 @query(
     f"""with {_PAIRS_SQL},
     pushes as (select m.example_id, m.step_id, rollout_id, 2 * exp(-d2 / (bandwidth * bandwidth)) * (1 - d2 / (bandwidth * bandwidth)) as w,
-       list_sum(list_transform(list_zip(x, y, range(1, len(x) + 1)), lambda p: (p[1] - p[2]) * p[3])) as moment, x[1] - y[1] as head
+       list_sum(x) - list_sum(y) as total, x[1] - y[1] as head
        from measured m join bandwidths b on m.example_id = b.example_id and m.step_id = b.step_id)
-    select example_id, step_id, {O.micro_scalar('sum(w * moment * (rollout_id + 1))')} as moment, {O.micro_scalar('sum(w * head * (rollout_id + 1))')} as head
+    select example_id, step_id, {O.micro_scalar('sum(w * total * (rollout_id + 1))')} as total, {O.micro_scalar('sum(w * head * (rollout_id + 1))')} as head
     from pushes group by example_id, step_id"""
 )
 def repulsion(spark, sf_dir):
-    """Repulsion gradients between rollouts, as weighted moments per example and step."""
+    """Repulsion gradients between rollouts, as weighted sums per example and step."""
     grads = diversity.repulsion(
         inputs.trajectories(spark, sf_dir), ["example_id", "step_id"], "rollout_id", "latent", dim=64
     )
     weight = F.col("rollout_id") + 1
-    moment = V.total(F.transform("grad", lambda g, k: g * (k + 1)))
     return grads.groupBy("example_id", "step_id").agg(
-        F.round(F.sum(moment * weight) * 1e6).cast("long").alias("moment"),
+        F.round(F.sum(V.total("grad") * weight) * 1e6).cast("long").alias("total"),
         F.round(F.sum(F.col("grad")[0] * weight) * 1e6).cast("long").alias("head"),
     )
 
