@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from tracemill.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "orders documents embeddings pages benchmark labels conversations".split()
@@ -29,7 +30,7 @@ def _canonical(df: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(plain(v) for v in row) for row in df.astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, duck, name):
     got = entry.queries()[name](spark, SF).toPandas()
     assert len(got) > 0
