@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, quality, secrets
+from . import decontamination, minhash, quality, secrets
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,31 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP7_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: list_slice(w, i, i + least(len(w), 4) - 1))) as g
+  from d where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+shared as (select a.doc_id as u, b.doc_id as v, count(*) as common from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+  select u, v from shared join n a on u = a.doc_id join n b on v = b.doc_id where 100 * common >= 80 * (a.n + b.n - common)),
+walk as (select u, v from links union select w.u, l.v from walk w join links l on w.v = l.u),
+reach as (select u, min(v) as low from walk group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) as component_id,
+  d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) as kept
+from d left join n using (doc_id) left join reach on d.doc_id = reach.u
+"""
+
+
+@query(_OP7_SQL)
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 _OP9_SQL = r"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, string_split(t, chr(10)) as ls from d),
