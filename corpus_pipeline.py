@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracemill.llm import decontamination, quality, secrets
+from tracemill.llm import decontamination, minhash, packing, quality, secrets
 from tracemill.llm.common import read, save
 
 
@@ -16,6 +16,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return minhash.keep_first(docs, size=5)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window with a benchmark item go."""
     return decontamination.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
@@ -28,12 +33,20 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return masked.withColumn("n_chars", length)
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the sequences; see the packing operator."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
     ("decontamination", decontaminate),
     ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
 ]
 
+# Neither tokenising nor best fit can be said in SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
