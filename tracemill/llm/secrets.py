@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import row_key, save
+from .common import row_key, save, whole_row
 
 
 @dataclass(frozen=True)
@@ -122,17 +122,12 @@ def copied_values(found: DataFrame) -> DataFrame:
 def judged_spans(found: DataFrame) -> DataFrame:
     """Per key that has candidates: array `judged` of (start, kind number, end, example), in order."""
     copied = save(copied_values(found), "copied-values").withColumn("copied", F.lit(True))
-    each = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    k.name,
-                    lambda s, n=n: F.struct(s["start"].alias("start"), F.lit(n).alias("kind"), s["end"].alias("end"), s["value"].alias("value")),
-                )
-                for n, k in enumerate(KINDS)
-            ]
+    def of_kind(number: int):
+        return lambda s: F.struct(
+            s["start"].alias("start"), F.lit(number).alias("kind"), s["end"].alias("end"), s["value"].alias("value")
         )
-    )
+
+    each = F.flatten(F.array(*[F.transform(k.name, of_kind(n)) for n, k in enumerate(KINDS)]))
     rows = found.select("key", F.explode(each).alias("s")).select("key", "s.*").join(copied, "value", "left")
     one = F.struct("start", "kind", "end", F.coalesce("copied", F.lit(False)).alias("example"))
     return rows.groupBy("key").agg(F.sort_array(F.collect_set(one)).alias("judged"))
@@ -179,9 +174,10 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner="s
     found = save(find_candidates(docs, doc_id, text, owner, repository), "candidates")
     judged = save(judged_spans(found), "judged")
     live = judged.select("key", F.filter("judged", lambda s: ~s["example"]).alias("__s_spans"))
-    live = live.filter(F.size("__s_spans") > 0).withColumnRenamed("key", "__s_key")
-    keyed = docs.withColumn("__s_key", row_key(doc_id, text, owner, repository))
-    joined = keyed.join(live, "__s_key", "left")
+    live = live.filter(F.size("__s_spans") > 0)
+    keyed = docs.select(whole_row(docs).alias("row"), row_key(doc_id, text, owner, repository).alias("key"))
+    joined = keyed.join(live, "key", "left")
+    t = F.col("row")[text]
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("end"))
     masked = F.aggregate(
         "__s_spans",
@@ -189,14 +185,11 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner="s
         lambda acc, s: F.struct(
             F.when(
                 s["start"] >= acc["end"],
-                F.concat(acc["done"], F.substring(F.col(text), acc["end"].cast("int") + 1, (s["start"] - acc["end"]).cast("int")), F.lit(mask)),
+                F.concat(acc["done"], F.substring(t, acc["end"].cast("int") + 1, (s["start"] - acc["end"]).cast("int")), F.lit(mask)),
             ).otherwise(acc["done"]).alias("done"),
             F.greatest(acc["end"], s["end"]).alias("end"),
         ),
-        lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["end"].cast("int") + 1, F.length(text))),
+        lambda acc: F.concat(acc["done"], F.substring(t, acc["end"].cast("int") + 1, F.length(t))),
     )
-    columns = [
-        F.when(F.col("__s_spans").isNull(), F.col(text)).otherwise(masked).alias(text) if c == text else F.col(f"`{c}`")
-        for c in docs.columns
-    ]
-    return joined.select(*columns)
+    changed = F.when(F.col("__s_spans").isNull(), t).otherwise(masked)
+    return joined.select(*[changed.alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
