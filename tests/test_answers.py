@@ -165,6 +165,17 @@ def test_strip_equals_python(spark):
         assert (r.l[:-1] if r.l[-1] == "" else r.l) == r.t.splitlines()
 
 
-def test_mixed_targets(spark):
-    df = spark.createDataFrame([('["4","5"]',), ("x",), ("",), (None,)], "t string")
-    assert [r.g for r in df.select(A.target_array("t").alias("g")).collect()] == [["4", "5"], ["x"], None, None]
+@pytest.mark.parametrize(
+    "value,expected",
+    [('["4","5"]', ["4", "5"]), ('"x"', ["x"]), ('""', None), ("null", None), ("[4, 5.5]", ["4", "5.5"]), ("7", ["7"]),
+     ('"[0, 1)"', ["[0, 1)"]), ('"[4"', ["[4"]), ('"[a] x"', ["[a] x"]), ('"[0,1]"', ["[0,1]"]), ("[]", [])],
+)
+def test_mixed_targets(spark, value, expected):
+    df = spark.createDataFrame([(value,)], "t string").select(F.parse_json("t").alias("t"))
+    assert df.select(A.target_array("t").alias("g")).first().g == expected
+
+
+def test_digits_of_any_script(spark):
+    df = spark.createDataFrame([("٣",), ("१२.५",), ("３/４",), ("x",)], "t string")
+    assert [r.n for r in df.select(A.to_number("t").alias("n")).collect()] == [3.0, 12.5, 0.75, None]
+    assert df.select(A.answers_match(F.lit("٣"), F.array(F.lit("3"))).alias("m")).first().m

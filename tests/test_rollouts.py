@@ -130,3 +130,17 @@ def test_noise_is_normal_and_ignores_partitioning(spark):
     again = np.array([r.n for r in df.repartition(9).orderBy("id").collect()])
     assert z.shape == (2000, 5) and (z == again).all()
     assert abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03
+
+
+def test_last_reward_keeps_null_keys(spark):
+    log = spark.createDataFrame([(1, 0, 0, 0.5), (1, 0, 1, 1.0), (None, 0, 0, 0.25)], "example_id int, rollout_id int, step_id int, reward double")
+    got = rollouts.last_step_reward(log).collect()
+    assert sorted((r.example_id or 0, r.step_id, r.lst_reward) for r in got) == [(0, 0, 0.25), (1, 0, 1.0), (1, 1, 1.0)]
+
+
+def test_records_keep_their_types(spark):
+    from tracemill.operators import hooks
+
+    df = spark.createDataFrame([(2**53 + 1, "a"), (None, None)], "n bigint, t string")
+    got = hooks.map_rows(df, lambda r, by: {"n": None if r["n"] is None else r["n"] + by, "t": r["t"]}, "n bigint, t string", by=1)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(2**53 + 2, "a"), (None, None)], key=str)

@@ -42,6 +42,19 @@ def test_sample(rows):
         splits.seeded_sample(rows, "id", 3001).collect()
 
 
+@pytest.mark.parametrize(
+    "make",
+    [lambda d: splits.three_way_split(d, "id", 0, 0), lambda d: splits.seeded_sample(d, "id", 1),
+     lambda d: splits.train_test_split(d, "id", 0.5, 1), lambda d: splits.train_test_split(d, "id", 50, 1)],
+)
+def test_small_tables_fail_at_once(spark, make):
+    with pytest.raises(ValueError):
+        make(spark.range(0)).select("id")
+    if make(spark.range(51)).select("id").count():
+        with pytest.raises(ValueError):
+            splits.train_test_split(spark.range(10), "id", 50, 1)
+
+
 def test_shuffle_is_a_permutation(rows):
     shuffled = splits.seeded_shuffle(rows, "id")
     assert [r.position for r in shuffled.orderBy("position").collect()] == list(range(3000))
@@ -79,6 +92,8 @@ def test_holdout_and_membership(rows):
     parts = splits.membership_split(rows, chosen, "id")
     assert parts.count() == 3000
     assert parts.filter("split = 'in'").filter("id % 3 <> 0").count() == 0
+    with_null = rows.union(rows.limit(1).selectExpr("cast(null as bigint)"))
+    assert splits.membership_split(with_null, chosen, "id").filter("id is null").first().split == "out"
 
 
 def test_hardest_keeps_file_order_on_ties(spark):

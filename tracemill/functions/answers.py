@@ -24,7 +24,7 @@ _NUMBER = K.NUMBER.replace(r"\d", r"\p{Nd}")
 _BOXED_NESTED = K.BOXED_NESTED.replace("]*", "]*+").replace(")*", ")*+")
 
 # Spellings that Python's Fraction() and float() accept (finite values only).
-_DIGITS = r"\d+(?:_\d+)*"
+_DIGITS = r"\p{Nd}+(?:_\p{Nd}+)*"
 _FRACTION_LITERAL = rf"\A[-+]?{_DIGITS}{K.WHITESPACE_CLASS}*/{K.WHITESPACE_CLASS}*{_DIGITS}\z"
 _FLOAT_LITERAL = rf"\A[-+]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][-+]?{_DIGITS})?\z"
 
@@ -53,6 +53,12 @@ def strip_latex(text) -> Column:
     return F.when(F.contains(raw, F.lit("\\")) | F.contains(raw, F.lit("$")), text).otherwise(raw)
 
 
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of any script as 0-9, as Python's number parsers read them."""
+    plain = F.translate(text, K.OTHER_DIGITS, K.OTHER_DIGIT_VALUES)
+    return F.when(text.rlike(r"[\p{Nd}&&[^0-9]]"), plain).otherwise(text)
+
+
 def number_tokens(text) -> Column:
     return find_all(text, _NUMBER, 0)
 
@@ -107,7 +113,7 @@ def _number_steps(source: str) -> list[Step]:
             "digits",
             lambda c: strip(F.rtrim(F.replace(strip(c[source]), F.lit(","), F.lit("")), F.lit("."))),
         ),
-        ("literal", lambda c: F.replace(c["digits"], F.lit("_"), F.lit(""))),
+        ("literal", lambda c: ascii_digits(F.replace(c["digits"], F.lit("_"), F.lit("")))),
         (
             "value",
             lambda c: F.when(c["digits"].rlike(_FLOAT_LITERAL), c["literal"].try_cast("double")).when(
@@ -245,8 +251,9 @@ def answers_match(prediction, targets, atol: float = K.ANSWER_TOLERANCE) -> Colu
 
 
 def target_array(raw) -> Column:
-    """Targets read as text, where a record holds either one string or a JSON list of strings."""
+    """Targets read as a variant, where a record holds either one value or a JSON list of them. A text that
+    looks like a list stays one target; an empty text or JSON null is no target."""
     raw = as_column(raw)
-    return F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(
-        empty_to_null(raw).isNotNull(), F.array(raw)
-    )
+    several = F.variant_get(raw, "$", "array<string>")
+    single = empty_to_null(F.variant_get(raw, "$", "string"))
+    return F.when(F.schema_of_variant(raw).startswith("ARRAY"), several).when(single.isNotNull(), F.array(single))

@@ -1,5 +1,7 @@
 """Values that decide results and therefore must not drift."""
 
+import unicodedata
+
 # Fixed values ---------------------------------------------------------------
 # Text patterns. `{ws}` is the whitespace class below.
 
@@ -45,5 +47,10 @@ WHITESPACE_CLASS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
+# Decimal digits beyond ASCII and their values, by the Unicode database.
+OTHER_DIGITS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isdecimal())
+OTHER_DIGIT_VALUES = "".join(str(unicodedata.decimal(c)) for c in OTHER_DIGITS)
+
+
 def with_whitespace(pattern: str) -> str:
     return pattern.replace("{ws}", WHITESPACE_CLASS)

@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.text import as_column
@@ -19,13 +21,15 @@ from ..functions.text import as_column
 def map_rows(df: DataFrame, function: Callable[..., dict], schema: StructType | str, **kwargs) -> DataFrame:
     """A function from one record (a dict) to one record, for logic no expression covers."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            records = [function(r, **kwargs) for r in batch.to_dict("records")]
-            if records:
-                yield pd.DataFrame.from_records(records)
+            # Arrow keeps integers and nulls as they are; pandas would turn both into floats.
+            yield pa.RecordBatch.from_pylist([function(r, **kwargs) for r in batch.to_pylist()], schema=arrow)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, kind)
 
 
 def map_batches(

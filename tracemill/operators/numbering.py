@@ -108,6 +108,3 @@ def cut_keys(df: DataFrame, order: RowOrder, positions: list[int]) -> list[Colum
     ).scalar()
     return [cuts[f"p{i}"] for i in range(len(positions))]
 
-
-def row_count(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1))).scalar()

@@ -21,7 +21,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition narrow rows by unique keys before a fan-out. Scan splits are sized for the input,
     not for what the fan-out makes of it; and grouping the many rows by these keys (or by more) later
     needs no further shuffle. The partition count is explicit because runtime merging would go by the
-    size before the fan-out."""
+    size before the fan-out; AQE neither merges nor splits such a shuffle, so the keys must be unique."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *keys)
 
@@ -102,11 +102,10 @@ def last_step_reward(
     reward: str = "reward",
     output: str = "lst_reward",
 ) -> DataFrame:
-    """Append the reward of the rollout's last state to all of its states. One small value per rollout
-    is aggregated map-side first, so no task has to hold a long rollout, and the log is hashed against
-    these values rather than sorted."""
-    last = log.groupBy(*rollout_key).agg(F.max_by(reward, step).alias(output))
-    return log.join(last.hint("shuffle_hash"), list(rollout_key))
+    """Append the reward of the rollout's last state to all of its states. A window computes the log once,
+    needs no shuffle where the rows already lie by rollout, and keeps rows whose key is null, as one
+    rollout of their own."""
+    return log.withColumn(output, F.max_by(reward, step).over(Window.partitionBy(*rollout_key)))
 
 
 def best_of_n(

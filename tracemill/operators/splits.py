@@ -7,14 +7,17 @@ directory per split.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import as_column
-from .numbering import cut_keys, natural_order, row_count, shuffled_order, with_position
+from .numbering import cut_keys, natural_order, shuffled_order, with_position
 
 
-def _guarded(error_when: Column, message: str, value: Column) -> Column:
-    return F.when(error_when, F.raise_error(F.lit(message))).otherwise(value)
+def _check(fine: bool, message: str) -> None:
+    """Sizes are checked when the split is made, so that an empty table or a query that reads other
+    columns only cannot skip it."""
+    if not fine:
+        raise ValueError(message)
 
 
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = 42, output: str = "position") -> DataFrame:
@@ -29,6 +32,7 @@ def three_way_split(
     Fails when nothing would be left for train."""
     if val_size < 0 or test_size < 0:
         raise ValueError("split sizes must not be negative")
+    _check(df.count() > val_size + test_size, "val_size + test_size must be smaller than the dataset size")
     order = shuffled_order(id_col, seed)
     sizes = {"val": val_size, "test": val_size + test_size}
     names = [n for n, end in sizes.items() if end > 0 and not (n == "test" and test_size == 0)]
@@ -37,10 +41,7 @@ def three_way_split(
         cuts = cut_keys(df, order, [sizes[n] for n in names])
         for name, cut in reversed(list(zip(names, cuts))):
             label = F.when(order.composite <= cut, F.lit(name)).otherwise(label)
-    too_small = row_count(df) <= val_size + test_size
-    return df.withColumn(
-        output, _guarded(too_small, "val_size + test_size must be smaller than the dataset size", label)
-    )
+    return df.withColumn(output, label)
 
 
 def holdout_split(
@@ -62,19 +63,20 @@ def holdout_split(
 def train_test_split(
     df: DataFrame, id_col: str, test_size: int | float, seed: int, output: str = "split"
 ) -> DataFrame:
-    """Two-way split by a row count, or by a fraction (rounded up; its row count takes one pass)."""
+    """Two-way split by a row count, or by a fraction (rounded up). Fails when either side would be empty."""
+    rows = df.count()
     if isinstance(test_size, float):
-        test_size = -int(-df.count() * test_size // 1)
+        test_size = -int(-rows * test_size // 1)
+    _check(0 < test_size < rows, f"test_size={test_size} leaves one side of {rows} rows empty")
     return holdout_split(df, id_col, test_size, seed, ("test", "train"), output)
 
 
 def seeded_sample(df: DataFrame, id_col: str, size: int, seed: int = 42) -> DataFrame:
     """Exactly `size` rows without replacement. Fails when there are fewer."""
+    _check(0 <= size <= df.count(), "sample larger than the dataset")
     order = shuffled_order(id_col, seed)
     (cut,) = cut_keys(df, order, [size])
-    return df.filter(
-        _guarded(row_count(df) < size, "sample larger than the dataset", order.composite <= cut)
-    )
+    return df.filter(order.composite <= cut)
 
 
 def first_rows(df: DataFrame, line_col: str, size: int) -> DataFrame:
@@ -92,12 +94,11 @@ def first_lines(df: DataFrame, line_col: str, size: int) -> DataFrame:
 def membership_split(
     df: DataFrame, chosen: DataFrame, key: str, names: tuple[str, str] = ("in", "out"), output: str = "split"
 ) -> DataFrame:
-    """Rows whose key is, and is not, in `chosen`. Catalyst broadcasts `chosen` when its measured
-    size allows; both joins keep the row side splittable if a key is hot."""
-    keys = chosen.select(key)
-    inside = df.join(keys, key, "left_semi").withColumn(output, F.lit(names[0]))
-    outside = df.join(keys, key, "left_anti").withColumn(output, F.lit(names[1]))
-    return inside.unionByName(outside)
+    """Rows whose key is, and is not, in `chosen`: one join that reads both tables once. Catalyst
+    broadcasts the distinct keys when their size allows; else a hot key's rows can be split."""
+    keys = chosen.select(key).distinct().withColumn("__in", F.lit(True))
+    label = F.when(F.col("__in"), F.lit(names[0])).otherwise(F.lit(names[1]))
+    return df.join(keys, key, "left").withColumn(output, label).drop("__in")
 
 
 def split_counts(df: DataFrame, split_col: str = "split") -> DataFrame:

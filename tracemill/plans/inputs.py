@@ -106,6 +106,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         table(spark, sf_dir, "documents").select(_text("d:", F.col("doc_id")).alias("text_id"), "text"),
         table(spark, sf_dir, "pages").select(_text("p:", F.col("page_id")).alias("text_id"), F.col("html").alias("text")),
+        table(spark, sf_dir, "benchmark").select(_text("b:", F.col("item_id")).alias("text_id"), "text"),
         table(spark, sf_dir, "conversations").select(
             _text("c:", F.col("conv_id"), ":", F.col("turn")).alias("text_id"), "text"
         ),

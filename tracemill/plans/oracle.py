@@ -15,7 +15,7 @@ def quoted(text: str) -> str:
 
 _WS_CLASS = K.WHITESPACE_CLASS
 NUMBER = quoted(K.NUMBER.replace(r"\d", r"\p{Nd}"))
-_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+_DIGITS = r"\p{Nd}+(?:_\p{Nd}+)*"
 
 
 def strip(x: str) -> str:
@@ -116,7 +116,7 @@ def _number_stages(x: str, prefix: str) -> list[tuple[str, str]]:
     top, bottom = strip(f"split_part({plain}, '/', 1)"), strip(f"split_part({plain}, '/', 2)")
     return [
         (digits, strip(f"rtrim(replace({strip(x)}, ',', ''), '.')")),
-        (plain, f"replace({digits}, '_', '')"),
+        (plain, f"translate(replace({digits}, '_', ''), '{K.OTHER_DIGITS}', '{K.OTHER_DIGIT_VALUES}')"),
         (
             prefix + "_value",
             f"""case when regexp_full_match({digits}, {fraction})
@@ -203,6 +203,7 @@ TEXTS = f"""{RESPONSES},
 texts as (select 'r:' || example_id || ':' || rollout_id as text_id, final_text as text from responses
    union all select 'd:' || doc_id, text from documents
    union all select 'p:' || page_id, html from pages
+   union all select 'b:' || item_id, text from benchmark
    union all select 'c:' || conv_id || ':' || turn, text from conversations)
 """
 

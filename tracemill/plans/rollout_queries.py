@@ -74,7 +74,7 @@ def mean_reward_by_step(spark, sf_dir):
 # Shards ----------------------------------------------------------------------
 
 _SHARDS_SQL = f"""{O.TRAJECTORIES},
-ranked as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as example_rank from orders where o_orderkey % 7 <> 3),
+ranked as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as example_rank from orders),
 numbered as (select t.*, example_rank * {inputs.ROLLOUTS * inputs.STATES} + rollout_id * {inputs.STATES} + step_id as seq
    from trajectories t join ranked on example_id = o_orderkey),
 sharded as (select *, printf('latents-%06d', seq // 4096) as shard, seq % 4096 as row from numbered)
@@ -82,9 +82,7 @@ sharded as (select *, printf('latents-%06d', seq // 4096) as shard, seq % 4096 a
 
 
 def _sharded(spark, sf_dir):
-    examples = inputs.table(spark, sf_dir, "orders").filter("o_orderkey % 7 <> 3").select(
-        F.col("o_orderkey").alias("example_id")
-    )
+    examples = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"))
     ranked = rollouts.with_example_rank(examples)
     facts = rollouts.cross_rollouts(ranked, inputs.ROLLOUTS, inputs.STEPS)
     return rollouts.assign_shards(facts, inputs.ROLLOUTS, inputs.STATES)

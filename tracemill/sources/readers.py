@@ -56,13 +56,14 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A split of a file is read by one task in order, so a line's number is the number of lines in the
     file's earlier splits plus its offset within its own. Only line counts per split are aggregated;
-    the lines themselves are neither sorted nor shuffled.
+    the table of starts, one short row per split of the input, is broadcast, so the lines themselves
+    are neither sorted nor shuffled.
     """
     lines = _located_lines(spark, path)
     splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    return lines.join(starts, ["file", "block"]).select(
+    return lines.join(F.broadcast(starts), ["file", "block"]).select(
         "file", (F.col("start") + F.col("id") - F.col("first_id")).alias("line_id"), "value"
     )
 
@@ -105,4 +106,7 @@ def read_rollout_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_shards(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """metadata and latents as `sources.writers.write_shards` laid them out."""
-    return spark.read.parquet(f"{path}/metadata"), spark.read.parquet(f"{path}/latents")
+    metadata, latents = spark.read.parquet(f"{path}/metadata"), spark.read.parquet(f"{path}/latents")
+    # Rows lie with their latents as they were written once; the metadata table is the narrow one.
+    pointer = ["shard_group", "shard", "row"]
+    return metadata, latents.select(*pointer, *[c for c in latents.columns if c not in metadata.columns])

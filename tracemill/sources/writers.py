@@ -1,4 +1,4 @@
-"""Writers. Each is one job; row counts come from observed metrics, not from a second pass."""
+"""Writers. Row counts come from observed metrics, not from a second pass."""
 
 from __future__ import annotations
 
@@ -65,10 +65,11 @@ def write_shards(facts: DataFrame, path: str, latent: str = "latent") -> int:
     """
     group = F.floor(F.col("shard_id") / SHARDS_PER_DIRECTORY).cast("long")
     placed = facts.withColumn("shard_group", group)
-    stored = placed.select("shard_group", "shard", "row", latent)
+    stored = placed.drop("shard_id")
     ordered = stored.repartition("shard_group", "shard").sortWithinPartitions("shard_group", "shard", "row")
     ordered.write.mode("errorifexists").partitionBy("shard_group").parquet(f"{path}/latents")
-    metadata = placed.drop("shard_id", latent)
+    # What was written is what is pointed at, even if the facts would come out otherwise again.
+    metadata = facts.sparkSession.read.parquet(f"{path}/latents").drop(latent)
     return _count_while(
         metadata, lambda d: d.write.mode("errorifexists").partitionBy("shard_group").parquet(f"{path}/metadata")
     )
