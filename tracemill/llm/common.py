@@ -47,6 +47,11 @@ def row_key(*columns) -> Column:
     )
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that an operator's own columns cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def lower_ascii(text) -> Column:
     """Lower-case A-Z only. `lower` does just that to pure ASCII text, and faster."""
     text = F.col(text) if isinstance(text, str) else text

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ALNUM_GAP, lower_ascii, row_key, save, split_words, with_grams, with_window_min
+from .common import ALNUM_GAP, lower_ascii, row_key, save, split_words, whole_row, with_grams, with_window_min
 
 WINDOW = 10
 GRAM = 4
@@ -174,6 +174,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "do
     """The documents that share no window with an item, with all their columns."""
     _, spans = shared_spans(docs, benchmark, doc_id=doc_id, text=text, **names)
     bad = save(spans.select(F.col("key").alias("__c_key")).distinct(), "contaminated")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.select("*", row_key(doc_id, text).alias("__c_key"))
-    return keyed.join(bad, "__c_key", "left_anti").select(*columns)
+    keyed = docs.select(whole_row(docs).alias("row"), row_key(doc_id, text).alias("__c_key"))
+    return keyed.join(bad, "__c_key", "left_anti").select("row.*")

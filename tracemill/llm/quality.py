@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE_GAP, SPACES, row_key, save, split_words, with_grams
+from .common import SPACE_GAP, SPACES, row_key, save, split_words, whole_row, with_grams
 
 REPEAT_WINDOW = 8
 
@@ -32,18 +32,18 @@ class Limits:
     left_percent: int = 20
 
 
-def with_text_stats(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
+def with_text_stats(df: DataFrame, text: str) -> DataFrame:
     """Append n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text column."""
     t = F.coalesce(F.col(text), F.lit(""))
     w, h, g, s, p = (f"__{x}" for x in ("words", "hashes", "grams", "sorted", "places"))
     out = (
         df.withColumn(w, split_words(t, SPACE_GAP))
         .withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
-        .withColumn(f"{prefix}n_words", F.size(w).cast("long"))
-        .withColumn(f"{prefix}word_chars", F.length(F.translate(t, SPACES, "")).cast("long"))
-        .withColumn(f"{prefix}n_symbols", (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"))
+        .withColumn("n_words", F.size(w).cast("long"))
+        .withColumn("word_chars", F.length(F.translate(t, SPACES, "")).cast("long"))
+        .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"))
         .withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
-        .withColumn(f"{prefix}n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
+        .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .drop(w, "__lines")
     )
     out = with_grams(out, h, g, REPEAT_WINDOW)
@@ -66,17 +66,17 @@ def with_text_stats(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
         lambda a, b: F.least(F.lit(REPEAT_WINDOW), F.coalesce(b - a, F.lit(REPEAT_WINDOW))),
     )
     covered = F.aggregate(steps, F.lit(0), lambda total, x: total + x)
-    return out.withColumn(f"{prefix}n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(p)
+    return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(p)
 
 
 
 
 
 
-def base_failed(limits: Limits, prefix: str = "") -> Column:
-    words = F.col(f"{prefix}n_words")
+def base_failed(limits: Limits) -> Column:
+    words = F.col("n_words")
     return (words < limits.min_words) | (
-        F.col(f"{prefix}n_repeat_words") * 100 > words * limits.max_repeat_percent
+        F.col("n_repeat_words") * 100 > words * limits.max_repeat_percent
     )
 
 
@@ -155,9 +155,6 @@ def keep_good(
     """The documents that pass, with all their columns."""
     key = row_key(doc_id, host, text)
     gone = save(depleted_documents(docs, key, text, host, limits), "depleted")
-    columns = docs.columns
-    judged = with_text_stats(docs, text, "__q_").filter(~base_failed(limits, "__q_"))
-    judged = judged.select(*[F.col(f"`{c}`") for c in columns], key.alias("__q_key"))
-    return judged.join(gone.withColumnRenamed("key", "__q_key"), "__q_key", "left_anti").select(
-        *[F.col(f"`{c}`") for c in columns]
-    )
+    whole = docs.select(whole_row(docs).alias("row"), F.col(text).alias("text"), key.alias("key"))
+    judged = with_text_stats(whole, "text").filter(~base_failed(limits)).select("row", "key")
+    return judged.join(gone, "key", "left_anti").select("row.*")
