@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tracemill.plans import all_queries
 
 SF = "/root/testdata/sf0.001"
-TABLES = "orders documents embeddings pages benchmark labels conversations".split()
+TABLES = "orders documents embeddings pages benchmark labels conversations events".split()
 
 
 @pytest.fixture(scope="module")

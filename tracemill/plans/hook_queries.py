@@ -67,6 +67,21 @@ def encode_hook(spark, sf_dir):
     return encoded.select("doc_id", F.col("latent")[0].alias("first"), F.col("latent")[1].alias("second"))
 
 
+@query("select vec_id, 'v' || label || ':' || len(embedding) as text from embeddings")
+def decode_hook(spark, sf_dir):
+    """Latents to texts with a stand-in decoder."""
+
+    def factory():
+        def decode(batch):
+            texts = [f"v{label}:{len(z)}" for label, z in zip(batch["label"], batch["embedding"])]
+            return batch[["vec_id"]].assign(text=texts)
+
+        return decode
+
+    vectors = inputs.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return hooks.run_model(vectors, factory, "vec_id long, text string")
+
+
 @query(
     f"""with scored as (select vec_id, label, round(list_sum(embedding::double[]), 6) as reward from embeddings)
     select label::bigint as label, {O.micro_scalar('max(reward)')} as reward from scored group by label"""
@@ -93,7 +108,7 @@ def reward_hook(spark, sf_dir):
 def rollout_udtf(spark, sf_dir):
     """A generator that turns each vector row into rollouts and steps."""
 
-    @udtf(returnType="rollout_id int, step_id int, value int")
+    @udtf(returnType="rollout_id int, step_id int, value int", useArrow=True)
     class Generate:
         def eval(self, label: int):
             for rollout in range(4):

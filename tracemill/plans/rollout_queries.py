@@ -220,6 +220,39 @@ def repulsion(spark, sf_dir):
     )
 
 
+def _vector_pairs_sql(condition: str) -> str:
+    return f"""vectors as (select vec_id, label, embedding::double[] as z from embeddings),
+measured as (select a.vec_id, a.label, a.z as x, b.z as y, list_distance(a.z, b.z) as d
+  from vectors a join vectors b on a.vec_id <> b.vec_id and {condition})"""
+
+
+@query(
+    f"""with {_vector_pairs_sql('true')}
+    select {O.micro_scalar('quantile_disc(case when d > 0 then d end, 0.5) + 1e-6')} as bandwidth from measured"""
+)
+def bandwidth_all(spark, sf_dir):
+    """Median distance between all vectors, without groups."""
+    df = diversity.median_bandwidth(inputs.table(spark, sf_dir, "embeddings"), [], "vec_id", "embedding")
+    return df.select(F.round(F.col("bandwidth") * 1e6).cast("long").alias("bandwidth"))
+
+
+@query(
+    f"""with {_vector_pairs_sql('a.label = b.label')},
+    bandwidths as (select label, quantile_disc(case when d > 0 then d end, 0.5) + 1e-6 as s from measured group by label),
+    weighed as (select m.*, 2 * exp(-d * d / (s * s)) * (1 - d * d / (s * s)) as w from measured m join bandwidths using (label)),
+    parts as (select vec_id, label, unnest(range(1, 65)) as i, w, x, y from weighed),
+    summed as (select vec_id, label, i, sum(w * (x[i] - y[i])) as g from parts group by all)
+    select vec_id, label::bigint as label, string_agg(cast(round(g * 1e4) as bigint), ',' order by i) as grad from summed group by all"""
+)
+def repulsion_by_label(spark, sf_dir):
+    """Every component of the gradients between the vectors of a label, in blocks smaller than a label."""
+    grads = diversity.repulsion(
+        inputs.table(spark, sf_dir, "embeddings"), ["label"], "vec_id", "embedding", dim=64, block=32
+    )
+    shown = F.transform("grad", lambda x: F.round(x * 1e4).cast("long").cast("string"))
+    return grads.select("vec_id", "label", F.array_join(shown, ",").alias("grad"))
+
+
 # Evaluation ------------------------------------------------------------------
 
 

@@ -15,6 +15,38 @@ def _join(column, separator: str = "|") -> Column:
     return F.array_join(column, separator)
 
 
+# Parsing ---------------------------------------------------------------------
+
+
+@query(
+    """select o_orderkey as id, case o_orderkey % 4 when 0 then o_orderkey || '|' || (o_orderkey + 1) when 1 then '[' || o_orderkey || ', 9)'
+      when 2 then '[' || o_orderkey || ',1]' else cast(o_orderkey as varchar) end as targets, case when o_orderkey % 4 = 0 then 2 else 1 end as n
+    from orders"""
+)
+def mixed_target(spark, sf_dir):
+    """Targets of records that hold a list, a text that looks like one, a plain text or a number."""
+    i = F.col("o_orderkey")
+    record = (
+        F.when(i % 4 == 0, F.concat(F.lit('["'), i, F.lit('","'), i + 1, F.lit('"]')))
+        .when(i % 4 == 1, F.concat(F.lit('"['), i, F.lit(', 9)"')))
+        .when(i % 4 == 2, F.concat(F.lit('"['), i, F.lit(',1]"')))
+        .otherwise(i.cast("string"))
+    )
+    parsed = inputs.table(spark, sf_dir, "orders").select(i.alias("id"), A.target_array(F.parse_json(record)).alias("t"))
+    return parsed.select("id", _join("t").alias("targets"), F.size("t").alias("n"))
+
+
+@query(
+    """select event_id, cast(props ->> '$.k' as bigint) as k, '{"event_id":' || event_id || ',"k":' || (props ->> '$.k') || '}' as record
+    from events"""
+)
+def event_records(spark, sf_dir):
+    """JSON records parsed under a fixed schema and written again."""
+    props = F.from_json("props", "k bigint", {"mode": "FAILFAST"})
+    parsed = inputs.table(spark, sf_dir, "events").select("event_id", props["k"].alias("k"))
+    return parsed.select("event_id", "k", F.to_json(F.struct("event_id", "k")).alias("record"))
+
+
 # Corpus ----------------------------------------------------------------------
 
 _STEPS_SQL = f"""
