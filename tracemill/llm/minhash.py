@@ -4,11 +4,12 @@ Two permutations of 32-bit integers serve all coordinates: the first places a sh
 second ranks the places after the circle was turned by k steps for coordinate k. Signatures are cut
 into bands; documents whose sets share a band are candidates, and links are confirmed on full sets.
 
-Documents with equal sets are one node from the start. Within a bucket nobody is compared with all
-others: some centres are compared with the rest, what they link becomes one component, and only sets
-of different components are compared with further centres, until every bucket is one component or
-all its members have been centres. Centres are replicated in step with the sets they meet, so a
-bucket that holds a third of all documents is spread over tasks.
+Documents with equal sets are one node from the start. Within a bucket nobody is compared with all others
+at once: first each member meets the bucket's centre, and what links becomes one component. Most buckets
+are then done. Of the others, small ones compare members of different components pair by pair; in large
+ones the members form a cluster, cut into blocks, and two blocks meet in a task that counts overlaps by
+matrix products and returns only links that join components. No candidate is dropped, no pair list of a
+group is ever written, and a bucket that holds a third of all documents is spread over tasks.
 
 Nulls and edges: a text without words, or null, has an empty set and links with nothing; a null id is
 the last choice for representing its group; rows that repeat are members of one group.
@@ -18,21 +19,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textscan
-from .common import SPACES, row_key, save
+from .common import SPACES, row_key, save, whole_row
 
 SHINGLE = 4
 PERCENT = 80
 BANDS = 40
 ROWS = 6  # a pair at 0.8 shares none of the bands with probability 5e-6
-CENTRES = 4  # growth of the centres of a bucket from round to round
 CHUNK = 64  # pairs that meet one copy of a centre
+SMALL = 64  # members of a bucket up to which its pairs are rows
+BLOCK = 256  # sets of a block of a cluster, and of a tile that is compared at once
+TILE = 64
 
 _SIGNATURE = "key struct<a:bigint,b:bigint>, doc_id {id}, n_shingles bigint, node binary, bands array<bigint>"
 _U32 = np.uint32
@@ -173,54 +175,144 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _stars(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, centre) and (u, v): each member of a bucket with its centre. The centre is the member
+    that shares the most: it is likely to be the text from which the others were made."""
+    scores = members.groupBy("node").agg(F.sum("size").alias("score"))
+    scored = members.join(scores, "node")
+    centres = scored.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("centre"))
+    met = members.join(centres, "bucket").filter("node <> centre")
+    return centres, met.select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+
+
+def _small_pairs(active: DataFrame) -> DataFrame:
+    """Pairs of different components in buckets of at most SMALL members."""
+    small = active.filter(F.col("size") <= SMALL)
+    left = small.select("bucket", F.col("node").alias("u"), F.col("root").alias("u_root"))
+    right = small.select("bucket", F.col("node").alias("v"), F.col("root").alias("v_root"))
+    return left.join(right, "bucket").filter("u > v and u_root <> v_root").select("u", "v").distinct()
+
+
+def _spanning(u: np.ndarray, v: np.ndarray, group: np.ndarray) -> list[int]:
+    """Which of the links (u, v) join different groups when taken in turn."""
+    parent = {int(g): int(g) for g in group}
+
+    def find(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    out = []
+    for i, (a, b) in enumerate(zip(u.tolist(), v.tolist())):
+        a, b = find(int(group[a])), find(int(group[b]))
+        if a != b:
+            parent[a] = b
+            out.append(i)
+    return out
+
+
+def block_links(sets: list[np.ndarray], groups: np.ndarray, first: int, percent: int) -> list[tuple[int, int]]:
+    """Links between sets[:first] and the rest (or among all, if first is all of them) that join different
+    groups. Overlaps are counted by products of incidence matrices, a tile of sets by a tile."""
+    sizes = np.array([len(s) for s in sets])
+    same = first == len(sets)
+    found_u, found_v = [], []
+    for a in range(0, first, TILE):
+        ours = range(a, min(a + TILE, first))
+        words = np.unique(np.concatenate([sets[i] for i in ours]))
+        for b in range(a if same else first, len(sets), TILE):
+            others = range(b, min(b + TILE, len(sets)))
+            common = np.intersect1d(words, np.unique(np.concatenate([sets[i] for i in others])), assume_unique=True)
+            if not len(common):
+                continue
+
+            def incidence(tile, common=common):
+                out = np.zeros((len(tile), len(common)), np.float32)
+                for k, i in enumerate(tile):
+                    at = np.searchsorted(common, sets[i])
+                    at[at == len(common)] = 0
+                    out[k, at[common[at] == sets[i]]] = 1
+                return out
+
+            both = incidence(ours) @ incidence(others).T
+            union = sizes[list(ours)][:, None] + sizes[list(others)][None, :] - both
+            u, v = np.nonzero(both * 100 >= union * percent)
+            u, v = u + a, v + b
+            apart = groups[u] != groups[v]
+            found_u.append(u[apart])
+            found_v.append(v[apart])
+    if not found_u:
+        return []
+    u, v = np.concatenate(found_u), np.concatenate(found_v)
+    return [(int(u[i]), int(v[i])) for i in _spanning(u, v, groups)]
+
+
+def _compared(percent: int):
+    def run(batches):
+        for batch in batches:
+            for row in batch.select(["mine", "theirs"]).to_pylist():
+                mine, theirs = row["mine"], row["theirs"] or []
+                every = mine + theirs
+                sets = [np.array(m["items"], np.int64) for m in every]
+                names = {root: k for k, root in enumerate({m["root"] for m in every})}
+                groups = np.array([names[m["root"]] for m in every])
+                links = block_links(sets, groups, len(mine), percent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([every[pair[side]]["node"] for pair in links], pa.binary()) for side in (0, 1)],
+                    names=["u", "v"],
+                )
+
+    return run
+
+
+def _dense_links(active: DataFrame, centres: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components in buckets of more than SMALL members. The sets that such buckets connect
+    are a cluster; it is cut into blocks of about BLOCK sets, and each two blocks meet once, in a task
+    of their own, however many buckets they share. Only links that join components come out."""
+    dense = active.filter(F.col("size") > SMALL)
+    edges = dense.join(centres, "bucket").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    clusters = components(edges, "clusters").withColumnRenamed("root", "cluster")
+    clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster").distinct())
+    roots = dense.select("node", "root").distinct()
+    inside = clusters.join(roots, "node")
+    sized = inside.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("bigint").alias("blocks"))
+    inside = inside.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    held = inside.join(sets, "node").groupBy("cluster", "block", "blocks").agg(
+        F.collect_list(F.struct("node", "root", "items")).alias("members"), F.count_distinct("root").alias("n_roots"),
+        F.min("root").alias("any_root"),
+    )
+    held = save(held, "blocks")
+    left = held.select("cluster", F.col("block").alias("i"), "blocks", F.col("members").alias("mine"), F.col("n_roots").alias("a"), F.col("any_root").alias("x"))
+    left = left.withColumn("j", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)))
+    right = held.select("cluster", F.col("block").alias("j"), F.col("members").alias("theirs"), F.col("n_roots").alias("b"), F.col("any_root").alias("y"))
+    met = left.join(right, ["cluster", "j"]).filter("a > 1 or b > 1 or x <> y")
+    met = met.select("mine", F.when(F.col("i") < F.col("j"), F.col("theirs")).alias("theirs"))
+    return met.mapInArrow(_compared(percent), "u binary, v binary")
+
+
 def link_components(signed: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int, percent: int) -> DataFrame:
     """(node, root) of the sets that link with other sets."""
-    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(
-        F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.min("key").alias("key")
-    )
+    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"))
     nodes = save(nodes, "nodes")
-    rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
+    rows = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = save(rows.join(shared, "bucket"), "members")
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "key")
+    wanted = nodes.select("node", "key").join(members.select("node").distinct(), "node")
     texts = docs.select(row_key(doc_id, text).alias("key"), F.col(text).alias("text")).join(wanted, "key")
-    sets = save(
-        texts.select("node", "text").mapInArrow(_sets_of(size), "node binary, items array<bigint>"), "sets"
-    )
+    sets = save(texts.select("node", "text").mapInArrow(_sets_of(size), "node binary, items array<bigint>"), "sets")
     sets = sets.groupBy("node").agg(F.first("items").alias("items")) if _repeats(sets) else sets
-    edges, roots, centres = [], None, 1
-    while True:
-        labelled = members.withColumn("root", F.col("node"))
-        if roots is not None:
-            labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        labelled = save(labelled, "labelled")
-        live = (
-            labelled.groupBy("bucket")
-            .agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.min("root").alias("a"), F.max("root").alias("b"))
-            .filter("a <> b")
-            .select("bucket", "size", "low")
-        )
-        drawn = F.pmod(F.xxhash64("node", F.lit(centres)), F.col("size")) < centres
-        labelled = save(labelled.join(live, "bucket").withColumn("centre", (F.col("node") == F.col("low")) | drawn), "live")
-        chosen = labelled.filter("centre").select(
-            "bucket", F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("root").alias("v_root")
-        )
-        rest = labelled.select(
-            "bucket", F.col("node").alias("u"), F.col("n").alias("u_n"), "root", "centre"
-        )
-        fits = F.least("u_n", "v_n") * 100 >= F.greatest("u_n", "v_n") * percent
-        met = rest.join(chosen, "bucket").filter((F.col("root") != F.col("v_root")) & fits)
-        # Two centres meet once, everybody else meets each centre.
-        met = met.filter(~F.col("centre") | (F.col("u") > F.col("v")))
-        pairs = save(met.select("u", "v").distinct(), "pairs")
-        if not pairs.isEmpty():
-            edges.append(save(confirmed(pairs, sets, percent), "links"))
-            roots = components(reduce(DataFrame.unionByName, edges), "components")
-        members = labelled.filter(~F.col("centre")).select("bucket", "node", "n")
-        if members.isEmpty():
-            break
-        centres *= CENTRES
-    return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).filter("false")
+    centres, pairs = _stars(members)
+    centres = save(centres, "centres")
+    links = save(confirmed(save(pairs, "star-pairs"), sets, percent), "star-links")
+    roots = components(links, "star-components")
+    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
+    active = save(labelled.join(mixed.select("bucket"), "bucket"), "active")
+    pairs = save(_small_pairs(active), "small-pairs")
+    links = links.unionByName(save(confirmed(pairs, sets, percent), "small-links"))
+    links = links.unionByName(save(_dense_links(active, centres, sets, percent), "dense-links"))
+    return components(links, "components")
 
 
 def _repeats(sets: DataFrame) -> bool:
@@ -259,7 +351,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     found = near_duplicates(docs, doc_id, text, size, percent).filter("root is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))["key"]
     chosen = save(found.groupBy("root").agg(first.alias("__m_key")).select("__m_key").distinct(), "chosen")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    blank = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)) == ""
-    keyed = docs.filter(~blank).withColumn("__m_key", row_key(doc_id, text)).join(chosen, "__m_key", "left_semi")
-    return keyed.dropDuplicates(["__m_key"]).select(*columns).unionByName(docs.filter(blank))
+    whole = docs.select(whole_row(docs).alias("row"), row_key(doc_id, text).alias("__m_key"))
+    blank = F.btrim(F.coalesce(F.col("row")[text], F.lit("")), F.lit(SPACES)) == ""
+    first_rows = whole.filter(~blank).join(chosen, "__m_key", "left_semi").dropDuplicates(["__m_key"])
+    return first_rows.unionByName(whole.filter(blank)).select("row.*")
