@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import as_column, hash_key
 
 HASH_BUCKET_DIGITS = 4  # 16^4 buckets
-RANGE_BUCKETS = 256
+RANGE_BUCKETS = 256  # at least; beyond that, as many as keep a bucket near BUCKET_ROWS rows
+BUCKET_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -40,12 +41,14 @@ def shuffled_order(id_col, seed) -> RowOrder:
     return RowOrder(F.substring(digest, 1, HASH_BUCKET_DIGITS), (digest, as_column(id_col)))
 
 
-def natural_order(df: DataFrame, key, buckets: int = RANGE_BUCKETS) -> RowOrder:
-    """Order by a numeric key. Bucket bounds are approximate quantiles, measured once over the key
-    column and kept as literals (a few hundred numbers)."""
+def natural_order(df: DataFrame, key, buckets: int | None = None) -> RowOrder:
+    """Order by a numeric key. Bucket bounds are approximate quantiles, measured once over the key column
+    and kept as literals: one number per BUCKET_ROWS rows, so that no task ranks more than about that."""
     key = as_column(key)
+    if buckets is None:
+        buckets = max(RANGE_BUCKETS, -(-df.count() // BUCKET_ROWS))
     fractions = [i / buckets for i in range(1, buckets)]
-    measured = df.select(key.alias("k")).agg(F.percentile_approx("k", fractions, 10000)).first()[0]
+    measured = df.select(key.alias("k")).agg(F.percentile_approx("k", fractions, max(10_000, 20 * buckets))).first()[0]
     return RowOrder(_bucket_of(key, sorted(set(measured or []))), (key,))
 
 

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import diversity, evaluate, latents, rollouts
+from ..functions.text import words
+from ..functions.tokens import hashed_token_ids
+from ..operators import diversity, evaluate, latents, rollouts, scorer
+from ..operators.numbering import natural_order
 from . import inputs, oracle as O
 from .registry import query
 
+
 @query(
     f"""with {O.TRAJECTORIES}, bare as (select o_orderkey as example_id, r as rollout_id, step_id, timestep
       from orders, (select unnest(range({inputs.ROLLOUTS})) as r), grid)
@@ -122,6 +126,49 @@ def pointer_join(spark, sf_dir):
     )
 
 
+_SCORER_BATCH = 48
+
+
+@query(
+    rf"""with {_SHARDS_SQL},
+    asked as (select o_orderkey as example_id, list_filter(regexp_split_to_array('  How many items has order ' || o_orderkey || ' in status '
+       || o_orderstatus || '?' || repeat(' or more', cast(o_orderkey % 5 as bigint)) || chr(10), {O.quoted(O._WS_CLASS + '+')}), lambda w: w <> '') as w from orders),
+    ids as (select example_id, list_transform(w, lambda x: ('0x' || substr(md5(x), 1, 7))::bigint % 30000 + 10)[1:12] as ids from asked),
+    rows as (select seq, seq // {_SCORER_BATCH} as batch_id, seq % {_SCORER_BATCH} as batch_row, timestep, reward, latent, ids
+       from sharded join ids using (example_id)),
+    sized as (select *, max(len(ids)) over (partition by batch_id) as m from rows)
+    select batch_id, count(*) as rows, max(m) as size, sum(list_sum(ids) * (batch_row + 1))::bigint as ids, sum(m - len(ids))::bigint as padding,
+      sum(timestep * (batch_row + 1))::bigint as timesteps, sum(cast(reward as bigint) * (batch_row + 1))::bigint as labels,
+      {O.micro_scalar('sum((latent[1]::double + 2 * latent[64]::double) * (batch_row + 1))')} as latents
+    from sized group by batch_id"""
+)
+def scorer_batches(spark, sf_dir):
+    """Scorer batches from metadata, latents and questions, end to end."""
+    pointers = _sharded(spark, sf_dir).select("example_id", "rollout_id", "step_id", "shard", "row")
+    log = inputs.trajectories(spark, sf_dir).withColumnRenamed("reward", "label")
+    located = log.join(pointers.hint("merge"), ["example_id", "rollout_id", "step_id"])
+    number = F.regexp_extract("shard", r"(\d+)$", 1).cast("long") * 4096 + F.col("row")
+    tail = F.repeat(F.lit(" or more"), (F.col("o_orderkey") % 5).cast("int"))
+    text = F.concat(F.lit("  How many items has order "), "o_orderkey", F.lit(" in status "), "o_orderstatus", F.lit("?"), tail, F.lit("\n"))
+    asked = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"), text.alias("question"))
+    metadata = located.drop("latent").join(asked, "example_id").withColumn("seq", number)
+    stored = located.select("shard", "row", "latent")
+    rows = scorer.scorer_rows(metadata, stored, lambda q: hashed_token_ids(words(q)), max_tokens=12)
+    padded = scorer.scorer_batches(rows, "seq", natural_order(metadata, "seq"), _SCORER_BATCH)
+    place = F.col("batch_row") + 1
+    total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    ends = (F.col("latent")[0].cast("double") + 2 * F.col("latent")[63].cast("double")) * place
+    return padded.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.max(F.size("input_ids")).alias("size"),
+        F.sum(total * place).alias("ids"),
+        F.sum(F.size(F.filter("input_ids", lambda x: x == 0))).alias("padding"),
+        F.sum(F.col("timestep") * place).cast("long").alias("timesteps"),
+        F.sum(F.col("label") * place).cast("long").alias("labels"),
+        F.round(F.sum(ends) * 1e6).cast("long").alias("latents"),
+    )
+
+
 # Trajectories ----------------------------------------------------------------
 
 
