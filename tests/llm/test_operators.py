@@ -299,9 +299,9 @@ def test_changed_license_text(make_docs):
 def test_merged_transforms():
     draw = random.Random(1)
     strings = [bytes(draw.choice(b"ab\0") for _ in range(draw.randrange(1, 40))) for _ in range(60)]
-    shards = [bwt.shard_transform(strings[k : k + 7], 5) for k in range(0, 60, 7)]
-    shard, place, interval = bwt.merge(shards, 5)
-    text = [shards[s].symbols[p : p + 5] for s, p in zip(shard, place)]
+    shards = bwt.Shards([strings[k : k + 7] for k in range(0, 60, 7)], 5)
+    place, interval = bwt.merge(shards)
+    text = [shards.symbols[p : p + 5] for p in place]
     full = [(tuple(t), g) for t, g in zip(text, interval) if len(t) == 5 and 0 not in t]
     assert [t for t, _ in full] == sorted(t for t, _ in full)
     assert len({t for t, _ in full}) == len({g for _, g in full}) == len(set(full))
