@@ -3,6 +3,7 @@ and on small cases of its own."""
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -389,6 +390,23 @@ def test_html_of_odd_pages(spark):
     assert rows(html_text.extract(df.limit(0))) == []
 
 
+def test_pages_whose_names_say_nothing_or_mislead(spark, tables):
+    pages = tables.execute("select page_id, html from pages").fetchall()
+
+    def silent(h):
+        return re.sub(r"<(/?)(nav|article|footer)\b[^>]*>", r"<\1div>", re.sub(r'<div class="[^"]*">', "<div>", h))
+
+    kinds = [
+        lambda h: h, silent, lambda h: h.replace("<body>", '<body class="with-sidebar">'),
+        lambda h: h.replace("<body>", '<body><div class="layout has-sidebar">'),
+        lambda h: silent(h).replace("<body>", '<body class="with-sidebar">'),
+    ]
+    made = [(i * 10 + k, "u", change(h)) for i, h in pages for k, change in enumerate(kinds)]
+    got = {r.page_id: r.text for r in rows(html_text.extract(spark.createDataFrame(made, "page_id bigint, url string, html string")))}
+    right = [sum(got[i * 10 + k] == got[i * 10] != "" for i, _ in pages) for k in range(5)]
+    assert right[2:4] == [len(pages)] * 2 and min(right[1], right[4]) >= 0.9 * len(pages)
+
+
 def test_decoding_keeps_no_child_of_a_dropped_node():
     nodes = html_text.read_pages(["<div><p>a</p><section><p>b</p></section></div><div><p>c</p></div>"])
     draw = np.random.default_rng(1)

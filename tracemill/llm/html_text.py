@@ -1,14 +1,16 @@
 """Main text of web pages: boosted trees over block nodes, decoded along the tree.
 
 A page is read into a tree of block elements. Each node is described by its subtree (text, nodes, density,
-links), its attribute tokens, depth, siblings and parent. Gradient-boosted trees give the probability that
+links), its depth, siblings, parent and kind of block. Gradient-boosted trees give the probability that
 it belongs to the main text; decoding then picks the likeliest set of nodes in which no node is kept under
 one that is not, so an article's advert goes with all inside it and nothing of a menu comes back.
 
-No page carries labels. The trees learn from pages whose authors said what parts are: nodes under an
-element or attribute token that names main content, against nodes under one that names something else;
-all other nodes are left out of the fit. It uses the nodes of at most about `FIT_PAGES` pages, taken by a
-hash of their text; every page is then decoded whole. If the sample has no nodes of one kind there is
+No page carries labels. The trees learn from pages whose authors said what parts are: nodes whose nearest
+telling element name or attribute token names main content, against nodes where it names something else;
+all other nodes are left out of the fit. These names are no features, or the trees would only repeat them:
+structure alone gives a node's odds. Where the nearest name speaks for a node, the odds move by `SAID` its
+way; where none does, structure decides. The fit uses the nodes of at most about `FIT_PAGES` pages, taken
+by a hash of their text; every page is then decoded whole. If the sample has no nodes of one kind there is
 nothing to fit, and a node's probability is what its tokens say.
 
 Nulls and edges: null html is an empty page with empty text; text outside any element belongs to the
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 FIT_PAGES = 2000
 TREES = 10
 DEPTH = 4
+#: What a name adds to the log odds of structure, or takes from them.
+SAID = 4.0
 
 #: Words that name parts of a page (fixed lists).
 MAIN = frozenset("article main content post entry story articlebody".split())
@@ -55,8 +59,7 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
-_BUCKETS = 8
-N_FEATURES = 18 + _BUCKETS
+N_FEATURES = 14
 
 
 @dataclass
@@ -71,7 +74,6 @@ class Nodes:
     main: list = field(default_factory=list)
     other: list = field(default_factory=list)
     tag: list = field(default_factory=list)
-    bucket: list = field(default_factory=list)
     blocks: list = field(default_factory=list)  # (node, pieces of text)
 
     def add(self, page: int, parent: int, tag: str, attributes: str) -> int:
@@ -87,7 +89,6 @@ class Nodes:
         self.main.append(sum(t in MAIN for t in tokens))
         self.other.append(sum(t in OTHER for t in tokens))
         self.tag.append(1 if tag == "p" or tag[:1] == "h" and tag[1:].isdigit() else 2 if tag in ("ul", "ol", "li", "dl", "table", "tr", "td") else 0)
-        self.bucket.append(sum(map(ord, tokens[-1])) % _BUCKETS)
         return len(self.page) - 1
 
 
@@ -179,28 +180,40 @@ def features(nodes: Nodes) -> np.ndarray:
     if len(order):
         first = np.r_[True, np.diff(parent[order]) != 0]
         among[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    main, other = np.array(nodes.main), np.array(nodes.other)
-    on_main, on_other = main > 0, other > 0
+    # Wrappers around all there is are no depth: only ancestors with several children count.
+    branch = np.zeros(n)
     page_chars = chars.copy()
     for level in levels[1:]:
-        on_main[level] |= on_main[parent[level]]
-        on_other[level] |= on_other[parent[level]]
         page_chars[level] = page_chars[parent[level]]
+        branch[level] = branch[parent[level]] + (children[parent[level]] > 1)
     density = chars / count
     siblings = np.where(parent >= 0, children[up], 1)
     tag = np.array(nodes.tag)
     columns = [
-        depth, np.log1p(own), np.log1p(chars), np.log1p(count), density, linked / np.maximum(chars, 1), children, siblings,
+        branch, np.log1p(own), np.log1p(chars), np.log1p(count), density, linked / np.maximum(chars, 1), children, siblings,
         among, among / np.maximum(siblings, 1), chars / np.maximum(page_chars, 1), density[up],
-        np.log1p(chars[up] / np.maximum(siblings, 1)), main, other, on_main, on_other, tag,
+        np.log1p(chars[up] / np.maximum(siblings, 1)), tag,
     ]
-    buckets = np.array(nodes.bucket)[:, None] == np.arange(_BUCKETS)
-    return np.column_stack([np.column_stack(columns).astype(float), buckets.astype(float)])
+    return np.column_stack(columns).astype(float)
 
 
-def weak_labels(x: np.ndarray) -> np.ndarray:
-    """1 and 0 where tokens on the path name a part of the page, -1 elsewhere."""
-    return np.where(x[:, 16] > 0, 0, np.where(x[:, 15] > 0, 1, -1))
+def weak_labels(nodes: Nodes) -> np.ndarray:
+    """1 and 0 where the nearest token on the path names a part of the page, -1 elsewhere. Tokens of both
+    kinds on one node say nothing. A token of another part says nothing, for what is below neither, on a
+    wrapper (a body 'with-sidebar'): a node that has main content inside, or most of the text of a page that
+    names no main content."""
+    parent = np.array(nodes.parent)
+    levels = _levels(np.array(nodes.depth))
+    main, other = np.array(nodes.main) > 0, np.array(nodes.other) > 0
+    inside, chars = _subtree(main & ~other, parent, levels), _subtree(np.array(nodes.own), parent, levels)
+    page = np.maximum.accumulate(np.where(parent < 0, np.arange(len(parent)), 0))  # the root of each node
+    wraps = other & ~main & ((inside > 0) | ((inside[page] == 0) & (2 * chars > chars[page])))
+    said = np.where(main == other, -1, np.where(main, 1, 0))
+    said[wraps] = -1
+    for level in levels[1:]:
+        silent = level[(said[level] < 0) & ~wraps[level]]
+        said[silent] = said[parent[silent]]
+    return said
 
 
 def decode(nodes: Nodes, p: np.ndarray) -> np.ndarray:
@@ -228,7 +241,7 @@ class Trees:
     value: np.ndarray
     weight: np.ndarray
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def probability(self, x: np.ndarray, said: np.ndarray) -> np.ndarray:
         margin, rows = np.zeros(len(x)), np.arange(len(x))
         for t in range(len(self.weight)):
             at = np.zeros(len(x), int)
@@ -237,7 +250,7 @@ class Trees:
                 below = x[rows, np.maximum(f, 0)] <= self.threshold[t][at]
                 at = np.where(f < 0, at, np.where(below, self.left[t][at], self.right[t][at]))
             margin += self.weight[t] * self.value[t][at]
-        return 1 / (1 + np.exp(-2 * margin))
+        return 1 / (1 + np.exp(-2 * margin - np.where(said < 0, 0, np.where(said > 0, SAID, -SAID))))
 
 
 def _as_arrays(model) -> Trees:
@@ -266,8 +279,8 @@ def _as_arrays(model) -> Trees:
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = features(read_pages([h or "" for h in batch["html"].to_pylist()])) if len(batch) else np.zeros((0, N_FEATURES))
-        y = weak_labels(x)
+        nodes = read_pages([h or "" for h in batch["html"].to_pylist()])
+        x, y = (features(nodes), weak_labels(nodes)) if len(batch) else (np.zeros((0, N_FEATURES)), np.zeros(0))
         x, y = x[y >= 0], y[y >= 0]
         yield pa.RecordBatch.from_arrays(
             [pa.array(y.astype(float)), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"]
@@ -300,8 +313,8 @@ def main_texts(sources: list[str], trees: Trees | None) -> list[str]:
     if not sources:
         return []
     x = features(nodes)
-    said = weak_labels(x)
-    p = trees.probability(x) if trees is not None else np.where(said < 0, 0.5, said)
+    said = weak_labels(nodes)
+    p = trees.probability(x, said) if trees is not None else np.where(said < 0, 0.5, said)
     kept = decode(nodes, p)
     out: list[list[str]] = [[] for _ in sources]
     for node, pieces in nodes.blocks:
