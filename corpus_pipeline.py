@@ -11,9 +11,14 @@ from tracemill.llm import decontamination, minhash, packing, quality, secrets
 from tracemill.llm.common import read, save
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    length = F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return docs.withColumn("n_chars", length)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules go."""
-    return quality.keep_good(docs)
+    """Documents that fail the rules go, and lines that are frequent on their host go from the others."""
+    return _measured(quality.keep_good(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +34,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live-looking credentials are masked in the text; no document goes."""
     masked = secrets.redact(docs, repository=F.concat_ws("/", "source", "lang"))
-    length = F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return masked.withColumn("n_chars", length)
+    return _measured(masked)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,17 @@ def test_depleted_documents(make_docs):
     assert not elsewhere[50].depleted
 
 
+def test_frequent_lines_leave_the_text(make_docs):
+    limits = quality.Limits(line_documents=5, line_percent=5)
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    docs = [(i, f"Home  Products\n\n{body(i)}\n home products \r\nend{i}", "en", None if i % 2 else "s") for i in range(20)]
+    docs += [(50, f"home products\n{body(50)}", "en", "other"), (51, "home products\nx", "en", "s")]
+    kept = quality.keep_good(make_docs(docs), limits=limits)
+    assert kept.columns == make_docs(docs).columns
+    got = {r.doc_id: r.text for r in rows(kept)}
+    assert got == {i: f"\n{body(i)}\nend{i}" for i in range(20)} | {50: docs[20][1]}
+
+
 # Near duplicates -----------------------------------------------------------------------------------
 
 

@@ -1,9 +1,10 @@
 """Quality rules: statistics of each text and the frequency of its lines across documents of a host.
 
 Lines are normalised and hashed; a line's frequency is the number of distinct texts of one host that
-hold it, so exact copies of a document count once. Lines above the limit count as removed, and a
-document that has next to nothing left is rejected. Only built-in expressions are used. Texts are
-never shuffled: hashes of lines are, and the documents that fail are looked up by a key.
+hold it, so exact copies of a document count once. Lines above the limit are removed: `keep_good` cuts
+them out of the texts, and a document that has next to nothing left is rejected. `judge` only reports,
+and both take a text's statistics before the cut. Only built-in expressions are used. What is counted
+are hashes of lines; documents look up their verdict and their frequent lines by a key.
 
 Nulls and edges: a null or blank text has no words and fails; a null host is a host of its own; rows
 that repeat are judged alike, each keeping its own row; other columns are not looked at.
@@ -113,24 +114,34 @@ def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
     )
 
 
-def depleted_documents(
+def touched_documents(
     docs: DataFrame, key: Column, text: str = "text", host: str = "source", limits: Limits = Limits()
 ) -> DataFrame:
-    """Keys of the documents that lose nearly all their words with the frequent lines of their host."""
+    """Keys of the documents that hold frequent lines of their host: depleted, whether they lose nearly all
+    their words with them, and frequent, the hashes of these lines."""
     lines = save(document_lines(docs, key, text, host), "lines")
     frequent = save(frequent_lines(lines, limits), "frequent-lines")
     hit = (F.col("l.line_hash") == F.col("f.line_hash")) & F.col("l.host").eqNullSafe(F.col("f.host"))
     # A document of which no line is frequent drops out here; the others are summed whole.
     flagged = (
-        lines.alias("l").join(frequent.alias("f"), hit, "left").select("key", "line_words", F.col("documents").isNotNull().alias("gone"))
+        lines.alias("l").join(frequent.alias("f"), hit, "left").select(
+            "key", "line_words", F.col("documents").isNotNull().alias("gone"), F.col("l.line_hash").alias("line_hash")
+        )
     )
     totals = flagged.groupBy("key").agg(
-        F.sum("line_words").alias("words"), F.sum(F.when(F.col("gone"), F.col("line_words"))).alias("gone")
+        F.sum("line_words").alias("words"),
+        F.sum(F.when(F.col("gone"), F.col("line_words"))).alias("gone"),
+        F.collect_set(F.when(F.col("gone"), F.col("line_hash"))).alias("frequent"),
     )
     left = F.col("words") - F.col("gone")
-    return totals.filter(
-        (left < limits.left_words) & (left * 100 < F.col("words") * limits.left_percent)
-    ).select("key")
+    depleted = (left < limits.left_words) & (left * 100 < F.col("words") * limits.left_percent)
+    return totals.filter("gone is not null").select("key", depleted.alias("depleted"), "frequent")
+
+
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines whose normalised form has one of the hashes."""
+    plain = lambda x: F.btrim(F.regexp_replace(F.lower(x), SPACE_GAP, " "), F.lit(" "))
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(hashes, F.xxhash64(plain(x)))), "\n")
 
 
 def judge(
@@ -139,7 +150,7 @@ def judge(
     """doc_id, the statistics, base_failed, depleted and kept, a row per row."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("host"))
     key = row_key("doc_id", "host", "text")
-    gone = save(depleted_documents(plain, key, "text", "host", limits), "depleted").withColumn("depleted", F.lit(True))
+    gone = save(touched_documents(plain, key, "text", "host", limits).filter("depleted").select("key", "depleted"), "depleted")
     stats = with_text_stats(plain.withColumn("key", key), "text").drop("text", "host")
     out = stats.join(gone, "key", "left").withColumn("base_failed", base_failed(limits))
     return (
@@ -152,12 +163,15 @@ def judge(
 def keep_good(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limits: Limits = Limits()
 ) -> DataFrame:
-    """The documents that pass, with all their columns."""
+    """The documents that pass, with all their columns; frequent lines are cut out of their texts."""
     key = row_key(doc_id, host, text)
-    gone = save(depleted_documents(docs, key, text, host, limits), "depleted")
+    touched = save(touched_documents(docs, key, text, host, limits), "touched")
     whole = docs.select(whole_row(docs).alias("row"), F.col(text).alias("text"), key.alias("key"))
     # A filter on the statistics would be pushed through their projections by substitution, and compute
     # arrays again for each of their elements. It is not pushed past a column that depends on the row's place.
     stats = with_text_stats(whole, "text").withColumn("place", F.monotonically_increasing_id())
     judged = stats.filter(~base_failed(limits) & (F.col("place") >= 0)).select("row", "key")
-    return judged.join(gone, "key", "left_anti").select("row.*")
+    left = judged.join(touched, "key", "left").filter(~F.coalesce("depleted", F.lit(False)))
+    old = F.col(f"row.`{text}`")
+    cut = F.when(F.col("frequent").isNotNull(), without_lines(old, F.col("frequent"))).otherwise(old)
+    return left.select(*[(cut if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
