@@ -305,6 +305,20 @@ def test_changed_license_text(make_docs):
     assert (got[3].base_labels, got[3].first_word, got[3].last_word, got[3].n_base) == ("apache,mit", 0, 4, 2)
 
 
+def test_repeated_short_notices(make_docs):
+    nc = "Licensed under CC BY-NC 4.0."
+    docs = [
+        (1, "copyright 2020 foo all rights reserved copyright 2021 bar all rights reserved"), (2, f"{nc} {nc}"),
+        (3, "all rights reserved " * 5), (4, f"Licensed under CC BY-NC 4 {nc} x {nc}"), (5, nc), (6, "licensed under cc by and by nc 4 0"),
+    ]
+    df = make_docs([(i, t, "en", "s") for i, t in docs])
+    got = {r.doc_id: (r.labels, r.score) for r in rows(licenses.scan(df))}
+    assert [got[i] for i in (1, 3)] == [("all-rights-reserved", 1.0)] * 2 and [got[i] for i in (2, 4, 5)] == [("cc-by-nc", 1.0)] * 3
+    assert got[6] == ("", 0.0)
+    _, spans = licenses.find_licenses(df)
+    assert sorted((r.first, r.last) for r in rows(spans) if r.label == "all-rights-reserved") == [(0, 2), (3, 5), (3, 5), (6, 8), (9, 11), (9, 11), (12, 14)]
+
+
 # Suffix dedup ----------------------------------------------------------------------------------------------------
 
 

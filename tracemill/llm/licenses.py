@@ -5,7 +5,8 @@ document place minus a template place is a diagonal; a passage copied from a tem
 diagonal, or for neighbouring ones where words were put in or left out. Votes are aggregated by document,
 template and diagonal, close diagonals are merged into one span, and a span counts when enough of its
 template's runs are in it and it is not much longer than what it covers; the words themselves were
-compared by 64-bit hashes, run by run.
+compared by 64-bit hashes, run by run. Copies that stand close together merge into a span that is too
+long; it is cut where the place in the template falls back, and each copy is judged by itself.
 
 A run whose hash is in no template cannot join, so workers drop it before it leaves them (`may_join`,
 one bit per hash value of 20 bits and hence of fixed size); the join decides. Templates are a few
@@ -157,6 +158,23 @@ def rolling_grams(docs: DataFrame, doc_id: str, text: str, sizes: list[int], may
     return plain.mapInArrow(_rolling(sizes, may_join), schema)
 
 
+_TEMPLATE = ("template", "label", "phrase", "n_grams", "t_words")
+
+
+def _judged(votes: DataFrame) -> DataFrame:
+    """Per span and copy: first and last word, score, covered (enough of the template) and too_long."""
+    spans = votes.groupBy("key", *_TEMPLATE, "span", "copy").agg(
+        F.count_distinct("at").alias("found"), F.min("place").alias("first"), F.max("place").alias("last_start")
+    )
+    k = F.col("t_words") - F.col("n_grams") + 1
+    spans = spans.withColumn("last", F.col("last_start") + k - 1).withColumn("score", F.col("found") / F.col("n_grams"))
+    covered = F.when(F.col("phrase"), F.col("found") == F.col("n_grams")).otherwise(
+        F.col("found") * 100 >= F.col("n_grams") * COVER_PERCENT
+    )
+    stretched = (F.col("last") - F.col("first") + 1) * 100 > F.col("t_words") * STRETCH_PERCENT
+    return spans.withColumn("covered", covered).withColumn("too_long", ~F.col("phrase") & stretched)
+
+
 def find_licenses(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -195,18 +213,18 @@ def find_licenses(
     fresh = F.col("diagonal") - F.lag("diagonal").over(near) > drift
     merged = per_diagonal.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int"))
     merged = merged.withColumn("span", F.sum("fresh").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy("key", "template", "label", "phrase", "n_grams", "t_words", "span").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("found"),
-        F.min(F.col("diagonal") + F.array_min("ats")).alias("first"),
-        F.max(F.col("diagonal") + F.array_max("ats")).alias("last_start"),
-    )
-    k = F.col("t_words") - F.col("n_grams") + 1
-    spans = spans.withColumn("last", F.col("last_start") + k - 1).withColumn("score", F.col("found") / F.col("n_grams"))
-    long_enough = F.when(F.col("phrase"), F.col("found") == F.col("n_grams")).otherwise(
-        (F.col("found") * 100 >= F.col("n_grams") * COVER_PERCENT)
-        & ((F.col("last") - F.col("first") + 1) * 100 <= F.col("t_words") * STRETCH_PERCENT)
-    )
-    return heads, spans.filter(long_enough).select("key", "template", "label", "phrase", "first", "last", "score")
+    votes = F.transform("ats", lambda at: F.struct((F.col("diagonal") + at).alias("place"), at.alias("at")))
+    merged = save(merged.withColumn("votes", votes).select("key", *_TEMPLATE, "span", "votes"), "votes")
+    merged = merged.select("key", *_TEMPLATE, "span", F.explode("votes").alias("vote")).select("*", "vote.*").drop("vote")
+    whole = _judged(merged.withColumn("copy", F.lit(0).cast("bigint")))
+    # Within a copy the place in the template only goes up. A span that passes stays whole.
+    in_order = Window.partitionBy("key", "template", "span").orderBy("place", "at")
+    back = F.coalesce(F.col("at") <= F.lag("at").over(in_order), F.lit(False)).cast("int")
+    long = whole.filter("too_long").select("key", "template", "span")
+    copies = merged.join(long, ["key", "template", "span"], "left_semi").withColumn("back", back)
+    copies = copies.withColumn("copy", F.sum("back").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = whole.unionByName(_judged(copies.drop("back"))).filter("covered and not too_long")
+    return heads, spans.select("key", "template", "label", "phrase", "first", "last", "score")
 
 
 def _joined(labels: Column) -> Column:
