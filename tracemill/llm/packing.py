@@ -5,9 +5,9 @@ A superstep takes the longest length not yet placed with all its documents at on
 sizes upwards from that length (each next size is the successor), gives the documents, in the order of
 their rank, to the gaps of that size, one each, moves the filled gaps to their new size and sweeps again;
 documents that no gap can hold open sequences. That is best-fit decreasing for any number of documents,
-while the sweeps only ever touch counts: at most one number per length and one run per fit. The rows
-never leave the executors: they are range-sorted by length, ranked within it by a prefix sum over
-partitions, and meet the run of places that covers their rank.
+while the sweeps, a serial loop in the driver, only ever touch counts: at most one number per length and
+one run per fit. The rows never leave the executors: they are hashed by length into shares of bounded
+size, ranked within these by a prefix sum over shares, and meet the run of places that covers their rank.
 
 Nulls and edges: a null text is empty and packs as its end token; null ids are allowed; rows that repeat
 are packed once per row; an empty table gives an empty result.
