@@ -1,13 +1,15 @@
 """Dense positions and exact cuts in a total order, without a global sort.
 
 Rows are assigned to buckets that are monotone in the order. Counting rows per bucket
-(partial aggregation, at most a few ten thousand result rows) gives the position at
-which each bucket starts; only rows within one bucket then have to be ranked. Windows
-without partition keys appear only over that bounded bucket table.
-
-Hash order (a seeded shuffle) uses leading digest digits as the bucket, so buckets are
-uniform whatever the ids look like. Natural order uses quantiles of the key. Keys must
-be unique, as row positions are.
+(partial aggregation) gives the position at which each bucket starts; only rows within
+one bucket then have to be ranked. Windows without partition keys appear only over the
+table of counts.
+
+Hash order (a seeded shuffle) uses leading digest digits as the bucket, at most 65,536 of
+them, so buckets are uniform whatever the ids look like. Natural order leaves the buckets
+to Spark: rows are range-partitioned and sorted once, written as a step, and the counts are
+those of its partitions. Nothing about the keys reaches the driver. Keys must be unique, as
+row positions are.
 """
 
 from __future__ import annotations
@@ -17,18 +19,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import as_column, hash_key
+from ..sources.staged import stage
 
 HASH_BUCKET_DIGITS = 4  # 16^4 buckets
-RANGE_BUCKETS = 256  # at least; beyond that, as many as keep a bucket near BUCKET_ROWS rows
-BUCKET_ROWS = 1_000_000
+_PART_BITS = 33  # of monotonically_increasing_id: the partition above, the row in it below
 
 
 @dataclass(frozen=True)
 class RowOrder:
-    """A total order: a bucket that is monotone in it, and the columns to compare."""
+    """A total order: the columns to compare and, if they have one, a bucket that is monotone in it."""
 
-    bucket: Column
+    bucket: Column | None
     keys: tuple[Column, ...]
+    partitions: int | None = None
 
     @property
     def composite(self) -> Column:
@@ -42,27 +45,74 @@ def shuffled_order(id_col, seed) -> RowOrder:
 
 
 def natural_order(df: DataFrame, key, buckets: int | None = None) -> RowOrder:
-    """Order by a numeric key. Bucket bounds are approximate quantiles, measured once over the key column
-    and kept as literals: one number per BUCKET_ROWS rows, so that no task ranks more than about that."""
+    """Order by a key of `df` itself. `buckets` is the number of range partitions, otherwise Spark's own."""
     key = as_column(key)
-    if buckets is None:
-        buckets = max(RANGE_BUCKETS, -(-df.count() // BUCKET_ROWS))
-    fractions = [i / buckets for i in range(1, buckets)]
-    measured = df.select(key.alias("k")).agg(F.percentile_approx("k", fractions, max(10_000, 20 * buckets))).first()[0]
-    return RowOrder(_bucket_of(key, sorted(set(measured or []))), (key,))
-
-
-def _bucket_of(key: Column, bounds: list) -> Column:
-    """Number of bounds <= key, by binary search over a literal array."""
-    strides = [2**b for b in reversed(range(len(bounds).bit_length()))]
-    if not strides:
-        return F.lit(0)
-    values = F.array(*[F.lit(b) for b in bounds])
-    return F.aggregate(
-        F.array(*[F.lit(s) for s in strides]),
-        F.lit(0),
-        lambda found, stride: F.when(F.get(values, found + stride - 1) <= key, found + stride).otherwise(found),
+    df.select(key)  # a wrong name fails here, not in a later step
+    return RowOrder(None, (key,), buckets)
+
+
+# Natural order ---------------------------------------------------------------
+
+
+def _placed(df: DataFrame, within: list[str], keys: list[str], partitions: int | None) -> DataFrame:
+    """The rows range-partitioned and sorted, each with its partition and place in it as one number, written
+    once: range bounds are sampled, so counts and rows must come from the same run."""
+    wanted = [*within, *keys]
+    ranged = df.repartitionByRange(partitions, *wanted) if partitions else df.repartitionByRange(*wanted)
+    return stage(ranged.sortWithinPartitions(*wanted).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+
+
+def _starts(placed: DataFrame, within: list[str]) -> DataFrame:
+    """Per partition (and value of `within`): its first place, its rows, and the rows before it. One row per
+    partition, apart from further values of `within`."""
+    counts = placed.groupBy(*within, F.shiftright("__at", _PART_BITS).alias("__part")).agg(
+        F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")
     )
+    earlier = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("__start", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+
+
+def range_positions(
+    df: DataFrame,
+    keys: list[str],
+    output: str = "position",
+    within: list[str] | None = None,
+    partitions: int | None = None,
+    total: str | None = None,
+) -> DataFrame:
+    """Append the 0-based position of every row in the order of `keys` (nulls first), counted anew for every
+    value of `within` (null is a value), and in `total` the rows that share this value. One shuffle of
+    the rows, however many share a value; rows equal in `within` and `keys` meet in one partition, in any
+    order."""
+    within = list(within or [])
+    placed = _placed(df, within, keys, partitions)
+    starts = _starts(placed, within)
+    if total:
+        starts = starts.withColumn(total, F.sum("__n").over(Window.partitionBy(*within)))
+    named = {c: f"__w{i}" for i, c in enumerate(within)}
+    starts = starts.withColumnsRenamed(named)
+    # No hint: the table is one row per partition and value, and broadcast only if that is small.
+    same = F.shiftright("__at", _PART_BITS) == F.col("__part")
+    for column, other in named.items():
+        same &= F.col(f"`{column}`").eqNullSafe(F.col(other))
+    met = placed.join(starts, same)
+    position = F.col("__start") + F.col("__at") - F.col("__first")
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], position.alias(output), *([total] if total else []))
+
+
+def _range_cuts(df: DataFrame, order: RowOrder, positions: list[int]) -> list[Column]:
+    names = [f"k{i}" for i in range(len(order.keys))]
+    placed = _placed(df.select(order.composite.alias("k")).select("k.*"), [], names, order.partitions)
+    starts = _starts(placed, [])
+    cuts = []
+    for p in positions:
+        holds = (F.col("__start") < p) & (F.col("__start") + F.col("__n") >= p)
+        place = starts.filter(holds).agg(F.max(F.col("__first") + p - 1 - F.col("__start"))).scalar()
+        cuts.append(placed.filter(F.col("__at") == place).agg(F.max(F.struct(*names))).scalar())
+    return cuts
+
+
+# Hash order ------------------------------------------------------------------
 
 
 def _bucket_ends(df: DataFrame, order: RowOrder) -> DataFrame:
@@ -72,6 +122,10 @@ def _bucket_ends(df: DataFrame, order: RowOrder) -> DataFrame:
 
 def with_position(df: DataFrame, order: RowOrder, output: str = "position") -> DataFrame:
     """Append the 0-based position of every row in the order (one shuffle of the rows)."""
+    if order.bucket is None:
+        names = [f"__k{i}" for i in range(len(order.keys))]
+        keyed = df.select("*", *[k.alias(n) for n, k in zip(names, order.keys)])
+        return range_positions(keyed, names, output, partitions=order.partitions).drop(*names)
     starts = _bucket_ends(df, order).select("__bucket", (F.col("__end") - F.col("__n")).alias("__start"))
     within = Window.partitionBy("__bucket").orderBy(*[f"__k{i}" for i in range(len(order.keys))])
     keyed = df.select(
@@ -91,6 +145,8 @@ def cut_keys(df: DataFrame, order: RowOrder, positions: list[int]) -> list[Colum
     The result is a scalar subquery: a row lies among the first p rows exactly when its
     composite key is <= the p-th key, so exact-size selections need no shuffle of the rows.
     """
+    if order.bucket is None:
+        return _range_cuts(df, order, positions)
     ends = _bucket_ends(df, order)
     wanted = ends.select(
         "__bucket",

@@ -163,7 +163,7 @@ def assign_shards_ragged(
     facts: DataFrame, rollouts: int, states: int, shard_rows: int = K.SHARD_ROWS
 ) -> DataFrame:
     """The same for logs with gaps: `rollouts` and `states` are upper bounds, rows are numbered densely."""
-    key = F.col("example_id") * (rollouts * states) + F.col("rollout_id") * states + F.col("step_id")
+    key = F.col("example_id").cast("long") * (rollouts * states) + F.col("rollout_id") * states + F.col("step_id")
     numbered = with_position(facts, natural_order(facts, key), "__sequence")
     return numbered.withColumns(_shard_columns(F.col("__sequence"), shard_rows)).drop("__sequence")
 

@@ -92,14 +92,8 @@ def _sharded(spark, sf_dir):
     return rollouts.assign_shards(facts, inputs.ROLLOUTS, inputs.STATES)
 
 
-@query(
-    f"""with {_SHARDS_SQL} select shard, count(*) as rows, min(row) as first_row, max(row) as last_row,
-      sum(row)::bigint as row_sum, sum(row * (step_id + 1))::bigint as weighted, sum(example_id)::bigint as examples
-    from sharded group by shard"""
-)
-def shard_assign(spark, sf_dir):
-    """Shard and row of every state of the kept examples, summed per shard."""
-    return _sharded(spark, sf_dir).groupBy("shard").agg(
+def _shard_sums(placed):
+    return placed.groupBy("shard").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min("row").alias("first_row"),
         F.max("row").alias("last_row"),
@@ -109,6 +103,35 @@ def shard_assign(spark, sf_dir):
     )
 
 
+@query(
+    f"""with {_SHARDS_SQL} select shard, count(*) as rows, min(row) as first_row, max(row) as last_row,
+      sum(row)::bigint as row_sum, sum(row * (step_id + 1))::bigint as weighted, sum(example_id)::bigint as examples
+    from sharded group by shard"""
+)
+def shard_assign(spark, sf_dir):
+    """Shard and row of every state of the kept examples, summed per shard."""
+    return _shard_sums(_sharded(spark, sf_dir))
+
+
+_RAGGED_SQL = f"""kept as (select o_orderkey as example_id, r as rollout_id, unnest(range(1 + (o_orderkey + r) % {inputs.STATES})) as step_id
+   from orders, (select unnest(range({inputs.ROLLOUTS})) as r)),
+numbered as (select *, row_number() over (order by example_id, rollout_id, step_id) - 1 as seq from kept),
+sharded as (select *, printf('latents-%06d', seq // 4096) as shard, seq % 4096 as row from numbered)"""
+
+_SHARD_SUMS_SQL = """shard, count(*) as rows, min(row) as first_row, max(row) as last_row,
+      sum(row)::bigint as row_sum, sum(row * (step_id + 1))::bigint as weighted, sum(example_id)::bigint as examples"""
+
+
+@query(f"with {_RAGGED_SQL} select {_SHARD_SUMS_SQL} from sharded group by shard")
+def shard_assign_ragged(spark, sf_dir):
+    """Shards of a log whose rollouts end after one to six states, summed per shard; the last is short."""
+    examples = inputs.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("example_id"))
+    drawn = rollouts.replicate(rollouts.spread(examples, "example_id"), inputs.ROLLOUTS, "rollout_id")
+    last = ((F.col("example_id") + F.col("rollout_id")) % inputs.STATES).cast("int")
+    facts = drawn.select("*", F.explode(F.sequence(F.lit(0), last)).alias("step_id"))
+    return _shard_sums(rollouts.assign_shards_ragged(facts, inputs.ROLLOUTS, inputs.STATES))
+
+
 @query(
     f"""with {_SHARDS_SQL} select step_id, count(*) as rows,
       {O.micro_scalar("sum(latent[1]::double * (rollout_id + 1))")} as weighted from sharded group by step_id"""

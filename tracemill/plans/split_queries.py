@@ -64,15 +64,16 @@ def seeded_sample(spark, sf_dir):
 
 
 @query(
-    f"""with kept as (select * from documents where lang <> 'en' or doc_id % 2 = 0)
-    select 'rows' as counted, doc_id from (select * from kept order by doc_id limit {HEAD})
-    union all select 'lines', doc_id from kept where doc_id < {HEAD}"""
+    f"""with numbered as (select doc_id, 2 * doc_id + case when lang = 'en' then 1 else 0 end as line_id from documents)
+    select 'rows' as counted, doc_id from (select * from numbered order by line_id limit {HEAD})
+    union all select 'lines', doc_id from numbered where line_id < {HEAD}"""
 )
 def first_n(spark, sf_dir):
-    """The first documents by file order, counting kept rows and counting lines."""
-    kept = inputs.table(spark, sf_dir, "documents").filter("lang <> 'en' or doc_id % 2 = 0")
-    rows = splits.first_rows(kept, "doc_id", HEAD).select(F.lit("rows").alias("counted"), "doc_id")
-    lines = splits.first_lines(kept, "doc_id", HEAD).select(F.lit("lines").alias("counted"), "doc_id")
+    """The first documents of a file with blank lines between them, counting rows and counting lines."""
+    line = 2 * F.col("doc_id") + F.when(F.col("lang") == "en", 1).otherwise(0)
+    numbered = inputs.table(spark, sf_dir, "documents").select("doc_id", line.alias("line_id"))
+    rows = splits.first_rows(numbered, "line_id", HEAD).select(F.lit("rows").alias("counted"), "doc_id")
+    lines = splits.first_lines(numbered, "line_id", HEAD).select(F.lit("lines").alias("counted"), "doc_id")
     return rows.unionByName(lines)
 
 
