@@ -45,6 +45,6 @@ def odd_rows():
 @pytest.fixture(scope="session")
 def tables():
     connection = duckdb.connect()
-    for t in "documents pages benchmark labels conversations".split():
+    for t in "documents embeddings pages benchmark labels conversations".split():
         connection.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return connection

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.staged import stage as save  # noqa: F401  (the operators write their steps with it)
+
 #: Word patterns of the query contracts. A word of the first kind holds letters, digits and anything
 #: beyond ASCII; one of the second kind is whatever stands between ASCII white space.
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -19,26 +18,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir` of the session. Only a
-    session that names none, as in tests on one machine, gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tracemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write a step's result to the shared folder and read it back: it survives lost executors, is
-    computed once, and its size is known to the optimizer, which broadcasts it only below
-    `spark.sql.autoBroadcastJoinThreshold`."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(*columns) -> Column:
     """128 bits of a row's values, never null. Rows that agree in all of them share the key."""
     parts = [F.col(c) if isinstance(c, str) else c for c in columns]

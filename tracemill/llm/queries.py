@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_text, language_id, licenses, minhash, packing, quality, secrets, suffix_dedup, token_counts
-from .common import read
+from . import (
+    codebooks, decontamination, html_text, language_id, licenses, merkle, minhash, packing, quality, secrets, sharding,
+    suffix_dedup, token_counts,
+)
+from .common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -175,3 +178,152 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_live",
         "n_example",
     )
+
+
+_OP12_FIELD = "coalesce(octet_length(encode(cast({0} as varchar))) || ':' || cast({0} as varchar), '-')"
+_OP12_LEAF = "sha256(" + " || ".join(_OP12_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+_OP12_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: CRC-32 of `bytes`, a list of byte values, four bits at a time.
+_NIBBLES = """nibble as (select list_transform(range(16), lambda n: list_reduce([n, 0, 0, 0, 0],
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as nib)"""
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(regexp_extract_all(hex(encode({0})), '..'),
+    lambda x: [('0x' || x[2])::bigint, ('0x' || x[1])::bigint]))), lambda c, x: xor(c >> 4, nib[(xor(c, x) & 15) + 1])), 4294967295)"""
+
+
+def _climb_sql(name: str, leaves: str) -> str:
+    """Recursive query over nodes (tree, level, idx, total, digest) of trees of runs of eight."""
+    return f"""{name} as (
+  select tree, 0 as level, idx, total, digest from {leaves}
+  union all
+  select tree, level + 1, idx // 8, (total + 7) // 8, sha256(string_agg(digest, '' order by idx))
+  from {name} where total > 1 group by tree, level, idx // 8, total)"""
+
+
+def _siblings_sql(name: str, nodes: str) -> str:
+    """Per node and level: what stands left and right of it in its run."""
+    return f"""{name} as (
+  select a.tree, a.level, a.idx, coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx < a.idx), '') as lefts,
+    coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx > a.idx), '') as rights
+  from {nodes} a left join {nodes} b on a.tree = b.tree and a.level = b.level and a.idx // 8 = b.idx // 8 and a.idx <> b.idx
+  where a.total > 1 group by 1, 2, 3)"""
+
+
+_OP12_SQL = f"""
+with recursive {_NIBBLES},
+docs as (
+  select doc_id, coalesce('1' || lang, '0') as tree, {_OP12_LEAF.format('text')} as leaf,
+    case when {_CRC.format('cast(doc_id as varchar)')} % 3 = 0 then {_OP12_LEAF.format(_OP12_LOWER)} else {_OP12_LEAF.format('text')} end as claimed
+  from documents, nibble),
+leaves as (
+  select *, row_number() over (partition by tree order by doc_id, leaf) - 1 as idx, count(*) over (partition by tree) as total, leaf as digest
+  from docs),
+{_climb_sql('nodes', 'leaves')},
+subroots as (
+  select tree as lang_tree, digest, row_number() over (order by encode(tree)) - 1 as idx, count(*) over () as total, 'top' as tree
+  from nodes where total = 1),
+{_climb_sql('tops', 'subroots')},
+{_siblings_sql('beside', 'nodes')},
+{_siblings_sql('beside_top', 'tops')},
+steps as (
+  select doc_id, level, lefts, rights from leaves l join beside b on b.tree = l.tree and b.idx = l.idx // (8 ** level)::bigint
+  union all
+  select doc_id, 1000 + level, lefts, rights from leaves l join subroots s on s.lang_tree = l.tree
+    join beside_top b on b.idx = s.idx // (8 ** level)::bigint),
+ways as (select doc_id, list(struct_pack(l := lefts, r := rights) order by level) as way from steps group by 1),
+fold as (
+  select doc_id, 1 as k, claimed as now, coalesce(way, []) as way from leaves left join ways using (doc_id)
+  union all
+  select doc_id, k + 1, sha256(way[k].l || now || way[k].r), way from fold where k <= len(way))
+select doc_id, leaf, s.digest as subroot, r.digest as root,
+  sha256(coalesce(array_to_string(list_transform(way, lambda w: w.l || w.r), ''), '')) as proof_sha256,
+  now as folded_root, now = r.digest as verified
+from leaves join subroots s on s.lang_tree = leaves.tree join fold using (doc_id) join (select digest from tops where total = 1) r on true
+where k = len(way) + 1
+"""
+
+
+@query(_OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document proved against the manifest; where 3 divides the id's checksum, as one whose text was lowered."""
+    docs = read(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = merkle.leaf(*fields, F.translate("text", UPPER, LOWER))
+    proved, _ = merkle.manifest(docs, [*fields, F.col("text")], F.col("lang"), F.when(changed, lowered))
+    return proved
+
+
+def _op13_draw(name: str, weight: float) -> str:
+    digest = f"md5('{sharding.SEED}:' || {name} || coalesce(':' || cast(doc_id as varchar), ''))"
+    return f"-ln(1.0 - ('0x' || substr({digest}, 1, 13))::bigint / 4503599627370496.0::double) / {weight}::double"
+
+
+_OP13_SQL = f"""
+with {_NIBBLES},
+docs as (select doc_id, octet_length(encode(coalesce(text, ''))) + 8 as size, {_CRC.format("coalesce(text, '')")} as text_crc32 from documents, nibble),
+regions as (
+  select *, {_op13_draw("'region-' || region", 8)} as score, {_op13_draw("'added-24'", 1)} as added
+  from docs, (select unnest(range(3)) as region)),
+first_region as (select doc_id, arg_min(region, score) as region, min(score) as score, min(added) as added from regions group by 1),
+racks as (
+  select *, {_op13_draw("'region-' || region || '/rack-' || rack", 4)} as rack_score
+  from (select *, unnest(range(2 * region, 2 * region + 2)) as rack from first_region)),
+first_rack as (select doc_id, region, arg_min(rack, rack_score) as rack, min(score) as score, min(added) as added from racks group by 1, 2),
+shards as (
+  select *, {_op13_draw("'region-' || region || '/rack-' || rack || '/' || shard", 1)} as shard_score
+  from (select *, unnest(range(4 * rack, 4 * rack + 4)) as shard from first_rack)),
+placed as (select doc_id, arg_min(shard, shard_score) as shard, min(added) < min(score) as moves from shards group by 1)
+select doc_id, size, text_crc32, 'key' as law, shard,
+  row_number() over (partition by shard order by doc_id, size, text_crc32) - 1 as slot,
+  case when moves then 24 else shard end as grown_shard
+from docs join placed using (doc_id)
+"""
+
+
+@query(_OP13_SQL)
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of equal weight, and where they lie with one more."""
+    return sharding.shard_documents(read(spark, sf_dir, "documents"), sharding.Tree.even(24))
+
+
+def _op11_nearest(name: str, book: str) -> str:
+    """Per vector and part the nearest entry, as distance * 64 + entry."""
+    square = " + ".join(f"(x[{k}] - c[{k}]) * (x[{k}] - c[{k}])" for k in range(1, 5))
+    return f"""{name} as materialized (select vec_id, p, any_value(x) as x, min(({square}) * 64 + e) as best
+  from parts join {book} using (p) group by 1, 2)"""
+
+
+def _op11_means(name: str, nearest: str, book: str) -> str:
+    mean = ", ".join(f"(sum(x[{k}]) - ((sum(x[{k}]) % count(*)) + count(*)) % count(*)) // count(*)" for k in range(1, 5))
+    return f"""{name}_means as (select p, best % 64 as e, [{mean}] as m from {nearest} group by 1, 2),
+{name} as materialized (select p, e, coalesce(m, c) as c from {book} left join {name}_means using (p, e))"""
+
+
+_OP11_SQL = f"""
+with v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as z
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select vec_id, p, z[4 * p + 1 : 4 * p + 4] as x from v, (select unnest(range(16)) as p)),
+book0 as materialized (
+  select p, row_number() over (partition by p order by vec_id) - 1 as e, x as c from parts
+  where vec_id in (select vec_id from v order by vec_id limit 64)),
+{_op11_nearest('near0', 'book0')},
+{_op11_means('book1', 'near0', 'book0')},
+{_op11_nearest('near1', 'book1')},
+{_op11_means('book2', 'near1', 'book1')},
+{_op11_nearest('near2', 'book2')},
+coded as (
+  select vec_id, string_agg(lower(printf('%02x', (best % 64)::int)), '' order by p) as code, sum(best // 64)::bigint as error
+  from near2 group by 1),
+books as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from book2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from v join coded using (vec_id), books
+"""
+
+
+@query(_OP11_SQL)
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as 16 two-digit codes, with codebooks fitted in two rounds."""
+    coded, books = codebooks.compress(read(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
