@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import rollouts, splits
 from tracemill.plans import inputs
-from tracemill.sources import readers, schemas, writers
+from tracemill.sources import readers, schemas, shards, writers
 from tracemill.streaming import append_log
 
 SF = "/root/testdata/sf0.001"
@@ -115,6 +115,44 @@ def test_shards_round_trip(spark, tmp_path):
         writers.write_shards(facts, path)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("hashed", [0, 1_000_000])
+def test_pointer_join_reads_shards_where_they_lie(spark, tmp_path, monkeypatch, hashed):
+    facts = spark.range(3000).selectExpr(
+        "id div 100 as shard_id", "format_string('latents-%06d', id div 100) as shard", "cast(id % 100 as int) as row",
+        "id as example_id", "array(cast(id as float), cast(-id as float)) as latent",
+    )
+    path = str(tmp_path / "shards")
+    assert writers.write_shards(facts.repartition(7), path, buckets=6, shards_per_group=5) == 3000
+    files = list((tmp_path / "shards" / "latents").glob("shard_group=*/*.parquet"))
+    assert len(list((tmp_path / "shards" / "latents").glob("shard_group=*"))) == 6 and len(files) <= 36
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(shards, "HASHED_ROWS", hashed)
+    try:
+        metadata, latents = readers.read_shards(spark, path)
+        joined = rollouts.resolve_latents(metadata.filter("example_id between 700 and 1290"), latents)
+        got = {r.example_id: (r.shard_group, r.shard, r.row, list(r.latent)) for r in joined.collect()}
+        plan = _plan(joined)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert got == {i: (i // 500, f"latents-{i // 100:06d}", i % 100, [i, -i]) for i in range(700, 1291)}
+    assert ("ShuffledHashJoin" if hashed else "SortMergeJoin") in plan
+    # No row of either scan is exchanged, only the list of directories is gathered and sent.
+    dealt = {line.split("hashpartitioning")[1].split(", ENSURE")[0] for line in plan.split("\n") if "hashpartitioning" in line}
+    assert all(x.startswith("(shard_group#") and "shard#" not in x for x in dealt)
+    assert "dynamicpruning" in plan
+    read = joined.select("shard_group").distinct().collect()
+    assert sorted(r.shard_group for r in read) == [1, 2]
+    shards.detach_shards(spark, path)
+    assert not [t for t in spark.catalog.listTables() if shards._table_name(path, "latents") == t.name]
+    with pytest.raises(FileNotFoundError):
+        readers.read_shards(spark, str(tmp_path / "nothing"))
+
+
 def test_rollout_files_with_mixed_fields(spark, tmp_path):
     meta, log = tmp_path / "m.jsonl", tmp_path / "l.jsonl"
     base = {"example_id": 1, "rollout_id": 0, "step_id": 0, "input": "q", "timestep": 999.0, "label": 1.0,

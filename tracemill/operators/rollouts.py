@@ -169,8 +169,14 @@ def assign_shards_ragged(
 
 
 def resolve_latents(metadata: DataFrame, latents: DataFrame) -> DataFrame:
-    """Attach the latent each metadata row points to."""
-    return metadata.join(latents, ["shard", "row"])
+    """Attach the latent each metadata row points to. Tables from `sources.shards` meet by bucket, without a
+    shuffle, and the latents' directories are pruned to those the metadata rows name: the list of these
+    is broadcast, one number per directory that the driver has listed anyway."""
+    if "shard_group" not in metadata.columns or "shard_group" not in latents.columns:
+        return metadata.join(latents, ["shard", "row"])
+    named = metadata.select("shard_group").distinct()
+    pruned = latents.join(F.broadcast(named), "shard_group", "left_semi")
+    return metadata.join(pruned, ["shard_group", "shard", "row"])
 
 
 def join_outputs(references: DataFrame, outputs: DataFrame, key: str = "line_id") -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.text import words
 from ..functions.tokens import hashed_token_ids
 from ..operators import diversity, evaluate, latents, rollouts, scorer
 from ..operators.numbering import natural_order
+from ..sources import shards, staged
 from . import inputs, oracle as O
 from .registry import query
 
@@ -132,21 +133,41 @@ def shard_assign_ragged(spark, sf_dir):
     return _shard_sums(rollouts.assign_shards_ragged(facts, inputs.ROLLOUTS, inputs.STATES))
 
 
+_DIMENSIONS = 64
+_DIGEST_SQL = " + ".join(f"latent[{i + 1}]::double * {i + 1}" for i in range(_DIMENSIONS))
+
+
 @query(
     f"""with {_SHARDS_SQL} select step_id, count(*) as rows,
-      {O.micro_scalar("sum(latent[1]::double * (rollout_id + 1))")} as weighted from sharded group by step_id"""
+      sum({O.micro_scalar(_DIGEST_SQL)} * (rollout_id + 1))::bigint as weighted from sharded group by step_id"""
 )
 def pointer_join(spark, sf_dir):
-    """Metadata rows with the latents their shard pointers lead to, summed per step."""
-    pointers = _sharded(spark, sf_dir).select("example_id", "rollout_id", "step_id", "shard", "row")
-    # Both sides are fanned out, so neither may be broadcast on an estimate.
-    located = inputs.trajectories(spark, sf_dir).join(pointers.hint("merge"), ["example_id", "rollout_id", "step_id"])
-    stored = located.select("shard", "row", "latent")
-    resolved = rollouts.resolve_latents(pointers.hint("merge"), stored)
-    weighted = F.sum(F.col("latent")[0].cast("double") * (F.col("rollout_id") + 1))
-    return resolved.groupBy("step_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.round(weighted * 1e6).cast("long").alias("weighted")
-    )
+    """Metadata rows of a shard folder with the whole latents their pointers lead to, summed per step."""
+    metadata, latents = shards.read_shards(spark, _shard_folder(spark, sf_dir))
+    resolved = rollouts.resolve_latents(metadata.select("rollout_id", "step_id", *shards.POINTER), latents)
+    digest = F.col("latent")[0].cast("double")
+    for i in range(1, _DIMENSIONS):
+        digest += F.col("latent")[i].cast("double") * (i + 1)
+    weighted = F.sum(F.round(digest * 1e6).cast("long") * (F.col("rollout_id") + 1))
+    return resolved.groupBy("step_id").agg(F.count(F.lit(1)).alias("rows"), weighted.alias("weighted"))
+
+
+_shard_folders: dict[tuple[str, str], str] = {}
+
+
+def _shard_folder(spark, sf_dir):
+    """The trajectories of the given tables as a shard folder, written at the first call of a session: a scorer
+    reads the same folder in every run."""
+    made = spark.sparkContext.applicationId, sf_dir
+    if made not in _shard_folders:
+        pointers = _sharded(spark, sf_dir).select("example_id", "rollout_id", "step_id", "shard_id", "shard", "row")
+        log = inputs.trajectories(spark, sf_dir)
+        # Both sides are fanned out from few rows, so neither may be broadcast on an estimate.
+        facts = log.join(pointers.hint("merge"), ["example_id", "rollout_id", "step_id"])
+        path = staged.new_path(spark, "shards")
+        shards.write_shards(facts, path)
+        _shard_folders[made] = path
+    return _shard_folders[made]
 
 
 _SCORER_BATCH = 48

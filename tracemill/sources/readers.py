@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 from ..functions.answers import target_array
 from ..functions.text import is_blank, strip
 from . import schemas
+from .shards import read_shards  # noqa: F401  (a source like the others)
 
 
 def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
@@ -102,11 +103,3 @@ def read_rollout_log(spark: SparkSession, path: str) -> DataFrame:
         "lst_reward",
         F.flatten("tokens").alias("tokens"),
     )
-
-
-def read_shards(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """metadata and latents as `sources.writers.write_shards` laid them out."""
-    metadata, latents = spark.read.parquet(f"{path}/metadata"), spark.read.parquet(f"{path}/latents")
-    # Rows lie with their latents as they were written once; the metadata table is the narrow one.
-    pointer = ["shard_group", "shard", "row"]
-    return metadata, latents.select(*pointer, *[c for c in latents.columns if c not in metadata.columns])

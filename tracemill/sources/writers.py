@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
-SHARDS_PER_DIRECTORY = 1024
+from .shards import write_shards  # noqa: F401  (a sink like the others)
+
 
 
 def _count_while(df: DataFrame, write) -> int:
@@ -56,25 +57,6 @@ def append_records(df: DataFrame, path: str, file_format: str = "json") -> int:
     return _count_while(df, lambda d: d.write.mode("append").format(file_format).save(path))
 
 
-def write_shards(facts: DataFrame, path: str, latent: str = "latent") -> int:
-    """Facts with shard_id, shard and row: latents and metadata as two tables that point at each other.
-    Fails when output exists.
-
-    A shard of a few thousand vectors is a small file, so a directory holds a run of shards; inside it
-    rows are sorted, and parquet statistics lead a reader to the row groups of one shard.
-    """
-    group = F.floor(F.col("shard_id") / SHARDS_PER_DIRECTORY).cast("long")
-    placed = facts.withColumn("shard_group", group)
-    stored = placed.drop("shard_id")
-    ordered = stored.repartition("shard_group", "shard").sortWithinPartitions("shard_group", "shard", "row")
-    ordered.write.mode("errorifexists").partitionBy("shard_group").parquet(f"{path}/latents")
-    # What was written is what is pointed at, even if the facts would come out otherwise again.
-    metadata = facts.sparkSession.read.parquet(f"{path}/latents").drop(latent)
-    return _count_while(
-        metadata, lambda d: d.write.mode("errorifexists").partitionBy("shard_group").parquet(f"{path}/metadata")
-    )
-
-
 def write_evaluation(pairs: DataFrame, path: str) -> int:
     """The evaluation table (input, output) as JSON records."""
     return write_jsonl(pairs.select("input", "output"), path)
