@@ -10,7 +10,7 @@ from ..functions.text import uniform, words
 from ..functions.tokens import hashed_token_ids
 from ..functions.vectors import trajectory_timesteps
 from ..operators.corpus import drop_blank
-from ..operators.joins import lookup_join
+from ..operators.joins import lookup_join, small_side
 from ..operators.rollouts import replicate, spread
 from ..sources.readers import read_table
 
@@ -95,7 +95,7 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
         (uniform("s", "example_id", "rollout_id", "step_id") < 0.5).cast("double").alias("reward"),
         pointer.alias("vec_id"),
     )
-    return lookup_join(pointed, vectors, "vec_id").drop("vec_id")
+    return lookup_join(pointed, small_side(vectors), "vec_id").drop("vec_id")
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
