@@ -126,6 +126,31 @@ def test_ten_digits_as_python_prints_them(spark):
     assert [r.s for r in got] == [f"{r.x:.10g}" for r in got]
 
 
+def test_ten_digits_of_ties_and_their_neighbours(spark):
+    import random
+    from math import nextafter
+
+    draw = random.Random(1)
+    ties = [draw.randrange(10**9, 10**10) + 0.5 for _ in range(200)] + [12345678.125, 12345678.375, 0.5, 2.5, 1e9 + 0.5]
+    ties += [draw.randrange(10**9, 10**10) / 10**k + 5 / 10 ** (k + 1) for k in range(1, 19) for _ in range(60)]
+    ties += [(2 * draw.randrange(2**20) + 1) / 2**k for k in range(1, 40) for _ in range(10)]
+    ties += [10.0**k for k in range(-9, 16)] + [9.9999999995 * 10.0**k for k in range(-9, 15)]
+    values = [s * v for x in ties for v in (nextafter(x, 0), x, nextafter(x, 1e300)) for s in (1, -1)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select("x", A.ten_digit_text(F.col("x")).alias("s")).collect()
+    assert [(r.x, r.s) for r in got if r.s != f"{r.x:.10g}"] == []
+
+
+def test_whole_numbers_of_any_size(spark):
+    values = [s * x for e in range(0, 309, 3) for x in (float(f"1e{e}"), float(f"7.3{e:03d}1e{e}")) for s in (1, -1)]
+    values = [float(int(v)) for v in values if abs(v) < 1.79e308] + [2.0**63, 2.0**62, 9.0e18, 1.7976931348623157e308, 2.0**1023]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select("x", A.whole_number_text(F.col("x")).alias("s")).collect()
+    assert [(r.x, r.s) for r in got if r.s != str(int(r.x))] == []
+    for text, whole in ((r"\boxed{1e38}", "99999999999999997748809823456034029568"), (r"\boxed{12345678.125}", "12345678.12")):
+        assert spark.range(1).select(A.normalize_answer(F.lit(text)).alias("a")).first().a == whole
+
+
 @pytest.mark.parametrize("text,targets,expected", MATCH)
 def test_match(spark, text, targets, expected):
     df = spark.createDataFrame([(text, targets)], "t string, g array<string>")

@@ -128,31 +128,142 @@ def _number_steps(source: str) -> list[Step]:
     ]
 
 
+# Exact decimal text of doubles --------------------------------------------------
+
+_LIMB = 10**9
+#: Bits that a limb is multiplied by at once: limb times factor stays below 2^63.
+_LIMB_BITS = 29
+
+
+def _times(limbs: Column, factor: Column) -> Column:
+    """Limbs (base 10^9, lowest first) times a factor of at most _LIMB_BITS bits."""
+
+    def step(state: Column, limb: Column) -> Column:
+        product = limb * factor + state["carry"]
+        high = F.call_function("div", product, F.lit(_LIMB))
+        return F.struct(high.alias("carry"), F.concat(state["done"], F.array(product % _LIMB)).alias("done"))
+
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.array().cast("array<bigint>").alias("done"))
+    return F.aggregate(limbs, start, step, lambda s: F.when(s["carry"] > 0, F.concat(s["done"], F.array(s["carry"]))).otherwise(s["done"]))
+
+
+def _power_of_two(bits: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int"))
+
+
+# A large whole number is mantissa x 2^bits; the mantissa has a few bits more than a double's, so that it
+# is whole even where the logarithm is one off.
+_WHOLE_STEPS: list[Step] = [
+    ("bits", lambda c: F.greatest(F.floor(F.log2(c["input"])) - 54, F.lit(0))),
+    ("mantissa", lambda c: (c["input"] / F.pow(F.lit(2.0), c["bits"])).cast("long")),
+    (
+        "limbs",
+        lambda c: F.array(c["mantissa"] % _LIMB, F.call_function("div", c["mantissa"], F.lit(_LIMB))),
+    ),
+    (
+        "raised",
+        lambda c: F.aggregate(
+            F.filter(F.sequence(F.lit(0), F.call_function("div", c["bits"], F.lit(_LIMB_BITS)).cast("int")), lambda i: i > 0),
+            c["limbs"],
+            lambda limbs, _: _times(limbs, F.lit(1 << _LIMB_BITS)),
+        ),
+    ),
+    ("all", lambda c: _times(c["raised"], _power_of_two(c["bits"] % _LIMB_BITS))),
+    (
+        "text",
+        lambda c: F.ltrim(
+            F.array_join(F.transform(F.reverse(c["all"]), lambda x: F.lpad(x.cast("string"), 9, "0")), ""), F.lit("0")
+        ),
+    ),
+]
+
+
 def whole_number_text(number: Column) -> Column:
-    """All digits of an integer-valued double. Above 2^63 the value is split at 2^62 so that
-    the decimal arithmetic sees exact parts; above 1e37 only the significant digits survive."""
-    scale = 2**62
-    high = F.floor(number / float(scale))
-    exact = high.cast("decimal(19,0)") * F.lit(scale).cast("decimal(19,0)") + (
-        number - high.cast("double") * float(scale)
-    ).cast("long").cast("decimal(19,0)")
-    return (
-        F.when(F.abs(number) < 9.0e18, number.cast("long").cast("string"))
-        .when(F.abs(number) < 1.0e37, exact.cast("string"))
-        .otherwise(F.format_string("%.0f", number))
+    """All digits of an integer-valued double, whatever its size."""
+    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.when(F.abs(number) < 9.0e18, number.cast("long").cast("string")).otherwise(
+        F.concat(sign, run_steps(F.abs(number), _WHOLE_STEPS, "text"))
     )
 
 
+def _decimal(whole: Column) -> Column:
+    return whole.cast("long").cast("decimal(19,0)")
+
+
+# With f bits behind the point, x * 2^f is whole, and ten digits of x are x * 2^f * 10^p / 2^f rounded to a
+# whole number, half to even: below 38 digits throughout, so decimals hold every step.
+_TEN_DIGIT_STEPS: list[Step] = [
+    ("places", lambda c: 9 - F.floor(F.log10(c["input"]))),
+    ("bits", lambda c: 53 - F.floor(F.log2(c["input"]))),
+    ("whole", lambda c: (c["input"] * F.pow(F.lit(2.0), c["bits"])).cast("long")),
+    ("top", lambda c: _decimal(c["whole"]) * _decimal(F.pow(F.lit(10.0), F.greatest(c["places"], F.lit(0))))),
+    (
+        "bottom",
+        lambda c: (
+            _decimal(_power_of_two(F.least(c["bits"], F.lit(42))))
+            * _decimal(_power_of_two(F.greatest(c["bits"] - 42, F.lit(0))))
+        ).cast("decimal(38,0)")
+        * _decimal(F.pow(F.lit(10.0), F.greatest(-c["places"], F.lit(0)))),
+    ),
+    ("floor", lambda c: F.call_function("div", c["top"], c["bottom"])),
+    ("twice", lambda c: (c["top"] - _decimal(c["floor"]) * c["bottom"]) * 2),
+    (
+        "digits",
+        lambda c: c["floor"]
+        + F.when(
+            (c["twice"] > c["bottom"]) | ((c["twice"] == c["bottom"]) & (c["floor"] % 2 == 1)), F.lit(1)
+        ).otherwise(F.lit(0)),
+    ),
+    ("shown", lambda c: c["digits"].cast("string")),
+    ("text", lambda c: F.lpad(c["shown"], F.greatest(c["places"] + 1, F.length(c["shown"])).cast("int"), F.lit("0"))),
+    ("exponent", lambda c: F.length(c["shown"]) - 1 - c["places"]),
+    (
+        "plain",
+        lambda c: F.concat(
+            c["text"].substr(F.lit(1), (F.length(c["text"]) - c["places"]).cast("int")),
+            F.lit("."),
+            c["text"].substr((F.length(c["text"]) - c["places"] + 1).cast("int"), F.lit(30)),
+        ),
+    ),
+    (
+        "scientific",
+        lambda c: F.concat(
+            _without_zeros(
+                F.concat(F.substring(c["shown"], 1, 1), F.lit("."), F.substring(c["shown"], 2, 20))
+            ),
+            F.lit("e"),
+            F.when(c["exponent"] < 0, F.lit("-")).otherwise(F.lit("+")),
+            F.lpad(F.abs(c["exponent"]).cast("string"), 2, "0"),
+        ),
+    ),
+    (
+        "printed",
+        lambda c: F.when(c["exponent"].between(-4, 9), _without_zeros(c["plain"])).otherwise(c["scientific"]),
+    ),
+]
+
+
+def _without_zeros(text: Column) -> Column:
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+
+
 def ten_digit_text(number: Column) -> Column:
-    """printf's %.10g: ten significant digits, no trailing zeros, exponent when very small or large."""
+    """printf's %.10g: ten significant digits of the exact value, ties to even, no trailing zeros, exponent when
+    very small or large. Outside 1e-9 to 1e16, where numbers count as whole, ties go by the shortest digits."""
+    size = F.abs(number)
+    sign = F.when(number < 0, F.lit("-")).otherwise(F.lit(""))
+    exact = F.concat(sign, run_steps(size, _TEN_DIGIT_STEPS, "printed"))
+    return F.when(size.between(1.0e-9, 1.0e16), exact).otherwise(_ten_shortest_digits(number))
+
+
+def _ten_shortest_digits(number: Column) -> Column:
     scientific = F.format_string("%.9e", number)
     mantissa = F.substring_index(scientific, "e", 1)
     exponent = F.substring_index(scientific, "e", -1)
     plain = scientific.try_cast("decimal(38,20)").cast("string")
-    trimmed_mantissa = F.rtrim(F.rtrim(mantissa, F.lit("0")), F.lit("."))
-    return F.when(
-        exponent.try_cast("int").between(-4, 9), F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
-    ).otherwise(F.concat(trimmed_mantissa, F.lit("e"), exponent))
+    return F.when(exponent.try_cast("int").between(-4, 9), _without_zeros(plain)).otherwise(
+        F.concat(_without_zeros(mantissa), F.lit("e"), exponent)
+    )
 
 
 NORMALIZE_STEPS: list[Step] = [

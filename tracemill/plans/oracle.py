@@ -143,7 +143,7 @@ def normalized(source: str, text: str, keep: str = "*") -> str:
         {quoted(K.ANSWER_EDGE_CHARS)})"""
     normal = """case when abs(number - round_even(number, 0)) < 1e-9
         then case when abs(number) < 9e18 then cast(cast(round_even(number, 0) as bigint) as varchar)
-                  else cast(try_cast(number as hugeint) as varchar) end
+                  else cast(cast(number as bignum) as varchar) end
         when number is not null then printf('%.10g', number)
         else tidy end"""
     stages = [
