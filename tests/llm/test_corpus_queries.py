@@ -25,7 +25,6 @@ def token_ids(documents):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
     made = tool.encode_batch(list(documents.text), add_special_tokens=False)
     return {i: np.array(e.ids, "<u4") for i, e in zip(documents.doc_id, made)}
 
@@ -54,6 +53,7 @@ def test_language_id(spark, documents):
 
 
 def test_packing(spark, token_ids):
+    assert dict(QUERIES["op3_best_fit_packing"](spark, SF).dtypes)["piece"] == "int"
     got = result(spark, "op3_best_fit_packing")
     for r in got.itertuples():
         ids = np.append(token_ids[r.doc_id], 2).astype("<u4")

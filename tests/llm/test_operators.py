@@ -248,11 +248,32 @@ def test_ids_equal_the_tokenizer_library():
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
     draw, letters = random.Random(1), "ab Z'é ñ0½ \n\t   !#😀中<|endoftext|>Ⅷ \r's\u0085\x1c"
     texts = ["", None, "it's I'll", "<|endoftext|>", *("".join(draw.choice(letters) for _ in range(draw.randrange(30))) for _ in range(500))]
-    got = [x.tolist() for x in tokens.encode_column(pa.array(texts), tokens.vocabulary_path())]
-    assert got == [e.ids for e in tool.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    texts += [f"a{x}<|endoftext|>{y}b" for x in ("", " ", "\n", "  \t") for y in ("", " ", "\n ", "<|endoftext|>")]
+    for added in (True, False):
+        tool.encode_special_tokens = not added
+        got = [x.tolist() for x in tokens.encode_column(pa.array(texts), tokens.vocabulary_path(), added)]
+        assert got == [e.ids for e in tool.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def test_packed_ids_are_the_librarys(make_docs):
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "a <|endoftext|> b"
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert ids == [64, 220, 50256, 275]
+    (got,) = packing.pack(make_docs([(1, text, "en", "s")])).collect()
+    assert (got.length, got.ids_crc32) == (5, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()))
+
+
+def test_ids_too_wide_for_the_file_end_the_job(make_docs):
+    blocks = token_counts.flat_blocks(make_docs([(1, "some text", "en", "s")]), "doc_id", "text", tokens.vocabulary_path(), dtype="u1")
+    with pytest.raises(Exception, match="does not fit"):
+        blocks.collect()
 
 
 def test_token_counts_of_odd_rows(odd, empty):

@@ -10,7 +10,9 @@ one run per fit. The rows never leave the executors: they are hashed by length i
 size, ranked within these by a prefix sum over shares, and meet the run of places that covers their rank.
 
 Nulls and edges: a null text is empty and packs as its end token; null ids are allowed; rows that repeat
-are packed once per row; an empty table gives an empty result.
+are packed once per row; a text is tokenised whole, whatever its length, and cut into pieces after that; documents
+of one length tie, and take their places by a hash of id and text; a text's added tokens are recognised, as by
+their library; an empty table gives an empty result. Only the columns named are read, whatever others the table has.
 """
 
 from __future__ import annotations

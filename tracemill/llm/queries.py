@@ -72,7 +72,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents")).withColumn("piece", F.col("piece").cast("long"))
+    return packing.pack(read(spark, sf_dir, "documents"))
 
 
 @query()

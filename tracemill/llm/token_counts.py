@@ -7,7 +7,12 @@ the tokens before its first and after its last separator. What a block's first s
 an earlier block; a prefix scan over the summaries of blocks, in two levels so that no file is scanned in
 one task, gives the place of each block and of the last separator before it.
 
-Nulls and edges: an empty block holds nothing; a file whose last document is not closed ends in a
+The files are made with a text's own `<|endoftext|>` read as ordinary text, so that no text can forge the separator,
+and an id that does not fit the files' width ends the job.
+
+Nulls and edges: a null text is empty and has no tokens; a very long one runs over as many blocks as it needs; null ids
+and rows that repeat are documents of their own; an empty table has no blocks and no counts; of the given tables only
+the columns named are read, whatever others they have. An empty block holds nothing; a file whose last document is not closed ends in a
 document marked so; a null block is empty.
 """
 
@@ -33,6 +38,8 @@ def _write_blocks(path: str, separator: int, size: int, dtype: str):
         file, block, held, ids = TaskContext.get().partitionId(), 0, 0, []
 
         def made(flat: np.ndarray, named: list) -> pa.RecordBatch:
+            if flat.max(initial=0) > np.iinfo(dtype).max:
+                raise ValueError(f"id {flat.max()} does not fit in {dtype}: choose wider ids for this vocabulary")
             return pa.RecordBatch.from_arrays(
                 [pa.array([file]), pa.array([block]), pa.array([flat.astype(dtype).tobytes()], pa.binary()), pa.array([named], pa.list_(pa.int64()))],
                 names=["file", "block", "data", "doc_ids"],
@@ -40,7 +47,7 @@ def _write_blocks(path: str, separator: int, size: int, dtype: str):
 
         pending: list[np.ndarray] = []
         for batch in batches:
-            for name, own in zip(batch["doc_id"].to_pylist(), tokens.encode_column(batch["text"], path)):
+            for name, own in zip(batch["doc_id"].to_pylist(), tokens.encode_column(batch["text"], path, added=False)):
                 ids.append(name)
                 pending.append(np.append(own, separator))
                 held += len(own) + 1

@@ -24,12 +24,26 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
-    if path not in _encoders:
+def encoder(path: str, added: bool):
+    """With `added`, the file's added tokens are recognised in a text; otherwise their strings are ordinary text."""
+    if (path, added) not in _encoders:
         import tiktoken
 
-        _encoders[path] = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=_ranks(path), special_tokens={})
-    return _encoders[path]
+        special = _added_tokens(path) if added else {}
+        _encoders[path, added] = tiktoken.Encoding(
+            "file", pat_str=PIECES, mergeable_ranks=_ranks(path), special_tokens=special
+        )
+    return _encoders[path, added]
+
+
+def _added_tokens(path: str) -> dict[str, int]:
+    if path.endswith(".tiktoken"):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if any(t[flag] for t in found for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: added tokens that look at the text around them are not supported")
+    return {t["content"]: t["id"] for t in found}
 
 
 def _ranks(path: str) -> dict[bytes, int]:
@@ -48,8 +62,10 @@ def _ranks(path: str) -> dict[bytes, int]:
     }
 
 
-def encode_column(column: pa.Array, path: str):
-    """The ids of each text; null is an empty text."""
-    tool = encoder(path)
+def encode_column(column: pa.Array, path: str, added: bool = True):
+    """The ids of each text, null being an empty one. As by the library's default, a string of an added token
+    is that token; `added=False` reads it as ordinary text, for callers that give the token a meaning."""
+    tool = encoder(path, added)
+    encode = (lambda text: tool.encode(text, allowed_special="all")) if added else tool.encode_ordinary
     for text in column:
-        yield np.array(tool.encode_ordinary(text.as_py() or ""), np.uint32)
+        yield np.array(encode(text.as_py() or ""), np.uint32)
