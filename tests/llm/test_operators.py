@@ -66,6 +66,17 @@ def test_depleted_documents(make_docs):
     assert not elsewhere[50].depleted
 
 
+@pytest.mark.parametrize("words", [1 << 17, 1])
+def test_what_is_left_must_be_enough(make_docs, words, monkeypatch):
+    monkeypatch.setattr(quality, "_MAP_WORDS", words)  # with one word, every document may hold frequent lines
+    lines = [" ".join(f"l{k}x{j}" for j in range(100)) for k in range(10)]
+    long = lambda i, n: "\n".join([*lines, " ".join(f"own{i}x{k}" for k in range(n))])
+    docs = [(i, long(i, 6 if i < 150 else 20), "en", "s") for i in range(160)]
+    docs += [(200, " ".join(f"a{k}" for k in range(30)), "en", "s")]
+    kept = quality.keep_good(make_docs(docs))
+    assert sorted((r.doc_id, len(r.text.split())) for r in rows(kept)) == [*((i, 20) for i in range(150, 160)), (200, 30)]
+
+
 def test_frequent_lines_leave_the_text(make_docs):
     limits = quality.Limits(line_documents=5, line_percent=5)
     body = lambda i: " ".join(f"w{i}x{k}" for k in range(30))

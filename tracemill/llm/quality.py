@@ -2,12 +2,14 @@
 
 Lines are normalised and hashed; a line's frequency is the number of distinct texts of one host that
 hold it, so exact copies of a document count once. Lines above the limit are removed: `keep_good` cuts
-them out of the texts, and a document that has next to nothing left is rejected. `judge` only reports,
+them out of the texts, and rejects documents that have too little left. `judge` only reports,
 and both take a text's statistics before the cut. Only built-in expressions are used. What is counted
 are hashes of lines; documents look up their verdict and their frequent lines by a key.
 
 Nulls and edges: a null or blank text has no words and fails; a null host is a host of its own; rows
-that repeat are judged alike, each keeping its own row; other columns are not looked at.
+that repeat are judged alike, each keeping its own row; other columns are not looked at, and keep their names
+and values; a very long text is judged whole, in its own task; a line at the limit exactly (a tie) stays; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,10 +72,6 @@ def with_text_stats(df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(p)
 
 
-
-
-
-
 def base_failed(limits: Limits) -> Column:
     words = F.col("n_words")
     return (words < limits.min_words) | (
@@ -118,7 +116,7 @@ def touched_documents(
     docs: DataFrame, key: Column, text: str = "text", host: str = "source", limits: Limits = Limits()
 ) -> DataFrame:
     """Keys of the documents that hold frequent lines of their host: depleted, whether they lose nearly all
-    their words with them, and frequent, the hashes of these lines."""
+    their words with them, left, the words they keep, and frequent, the hashes of these lines."""
     lines = save(document_lines(docs, key, text, host), "lines")
     frequent = save(frequent_lines(lines, limits), "frequent-lines")
     hit = (F.col("l.line_hash") == F.col("f.line_hash")) & F.col("l.host").eqNullSafe(F.col("f.host"))
@@ -135,7 +133,9 @@ def touched_documents(
     )
     left = F.col("words") - F.col("gone")
     depleted = (left < limits.left_words) & (left * 100 < F.col("words") * limits.left_percent)
-    return totals.filter("gone is not null").select("key", depleted.alias("depleted"), "frequent")
+    return totals.filter("gone is not null").select(
+        "key", depleted.alias("depleted"), left.alias("left"), "frequent"
+    )
 
 
 def without_lines(text: Column, hashes: Column) -> Column:
@@ -160,18 +160,44 @@ def judge(
     )
 
 
+#: Bits of the map of touched documents: 2^23, a megabyte, whatever the corpus.
+_MAP_WORDS = 1 << 17
+
+
+def _may_hold(keys: DataFrame, key: Column) -> Column:
+    """Whether a key is in `keys` or shares its bit with one that is: a map of fixed size, made by the query."""
+    bit = lambda k: F.pmod(k["a"], F.lit(64 * _MAP_WORDS))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit(F.col("key")), F.lit(64)).cast("int"))
+    word = F.call_function("div", bit(F.col("key")), F.lit(64))
+    words = keys.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+    every = keys.sparkSession.range(_MAP_WORDS).join(words, F.col("id") == F.col("word"), "left")
+    listed = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("all"))
+    found = F.get(listed.select(F.transform("all", lambda x: x["bits"])).scalar(), F.call_function("div", bit(key), F.lit(64)).cast("int"))
+    return F.call_function("getbit", found, F.pmod(bit(key), F.lit(64)).cast("int")) == 1
+
+
 def keep_good(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limits: Limits = Limits()
 ) -> DataFrame:
-    """The documents that pass, with all their columns; frequent lines are cut out of their texts."""
+    """The documents that pass, with all their columns; frequent lines are cut out of their texts. A document must
+    pass before the cut, and after it hold `min_words` words or more and not be depleted. Only documents that
+    may hold frequent lines are joined with these; the others stay where they are read."""
     key = row_key(doc_id, host, text)
     touched = save(touched_documents(docs, key, text, host, limits), "touched")
-    whole = docs.select(whole_row(docs).alias("row"), F.col(text).alias("text"), key.alias("key"))
-    # A filter on the statistics would be pushed through their projections by substitution, and compute
-    # arrays again for each of their elements. It is not pushed past a column that depends on the row's place.
-    stats = with_text_stats(whole, "text").withColumn("place", F.monotonically_increasing_id())
-    judged = stats.filter(~base_failed(limits) & (F.col("place") >= 0)).select("row", "key")
-    left = judged.join(touched, "key", "left").filter(~F.coalesce("depleted", F.lit(False)))
+    keyed = docs.select(whole_row(docs).alias("row"), F.col(text).alias("text"), key.alias("key"))
+    keyed = keyed.withColumn("may", _may_hold(touched.select("key"), F.col("key")))
+
+    def passing(some: DataFrame) -> DataFrame:
+        # A filter on the statistics would be pushed through their projections by substitution, and compute
+        # arrays again for each of their elements. It is not pushed past a column that depends on the row's place.
+        stats = with_text_stats(some, "text").withColumn("place", F.monotonically_increasing_id())
+        return stats.filter(~base_failed(limits) & (F.col("place") >= 0)).select("row", "key")
+
+    def rows(some: DataFrame, cut: Column) -> DataFrame:
+        return some.select(*[(cut if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
     old = F.col(f"row.`{text}`")
+    met = passing(keyed.filter("may")).join(touched, "key", "left")
+    left = met.filter(F.col("frequent").isNull() | (~F.col("depleted") & (F.col("left") >= limits.min_words)))
     cut = F.when(F.col("frequent").isNotNull(), without_lines(old, F.col("frequent"))).otherwise(old)
-    return left.select(*[(cut if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return rows(passing(keyed.filter("not may")), old).unionByName(rows(left, cut))
