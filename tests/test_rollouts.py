@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracemill.functions import vectors as V
-from tracemill.operators import diversity, evaluate, latents, rollouts
+from tracemill.operators import diversity, evaluate, hooks, latents, rollouts
 
 
 def test_best_of_n_first_on_ties(spark):
@@ -144,3 +144,26 @@ def test_records_keep_their_types(spark):
     df = spark.createDataFrame([(2**53 + 1, "a"), (None, None)], "n bigint, t string")
     got = hooks.map_rows(df, lambda r, by: {"n": None if r["n"] is None else r["n"] + by, "t": r["t"]}, "n bigint, t string", by=1)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(2**53 + 2, "a"), (None, None)], key=str)
+
+
+def test_generator_sees_whole_examples(spark):
+    class Count:
+        def __init__(self):
+            self.seen = []
+
+        def add(self, row):
+            self.seen.append((row.rollout_id, row.step_id))
+            return [(row.example_id, "row", len(self.seen))] if row.step_id == 0 else []
+
+        def finish(self):
+            yield None, ",".join(f"{a}.{b}" for a, b in self.seen), len(self.seen)
+
+    rows = [(e, r, s, "unused") for e in (1, None) for r in (1, 0) for s in (1, 0)] + [(2, r, 0, "x") for r in range(5000)]
+    df = spark.createDataFrame(rows, "example_id int, rollout_id int, step_id int, other string").repartition(5)
+    made = hooks.generator_per_example(Count, "example_id int, what string, n int")
+    got = made(df.asTable()).collect()
+    assert sorted((r.n, r.what) for r in got if r.what != "row" and r.n < 5000) == [(4, "0.0,0.1,1.0,1.1")] * 2
+    assert [r.n for r in got if r.what != "row" and r.n > 4] == [5000]
+    assert sorted(r.n for r in got if r.what == "row" and r.example_id == 2) == list(range(1, 5001))
+    with pytest.raises(Exception, match="needs the columns"):
+        made(df.drop("step_id").asTable()).collect()

@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import Row, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn
 
 from ..functions.text import as_column
 
@@ -98,3 +99,46 @@ def generate_rollouts(examples: DataFrame, generator, *columns: str) -> DataFram
     """One-to-many generation: apply a table function (made with pyspark's `udtf`) to each example.
     The examples' columns are repeated beside the generated ones."""
     return examples.lateralJoin(generator(*[F.col(c).outer() for c in columns]))
+
+
+def generator_per_example(
+    factory: Callable[[], object],
+    schema: StructType | str,
+    keys: tuple[str, ...] = ("example_id",),
+    order: tuple[str, ...] = ("rollout_id", "step_id"),
+    needs: tuple[str, ...] = (),
+):
+    """A table function over all rows of an example: call it with `df.asTable()`.
+
+    Spark sends the rows of one example, by `keys`, to one generator in the given order; an example of any length
+    passes by row by row, and only what the generator keeps is held. `factory` makes a generator per example:
+    `add(row)` and `finish()` return the rows to emit, as tuples of `schema`. A table without one of the
+    columns is refused when the query is analysed, and columns that are not named are not sent."""
+    result = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    named = [*dict.fromkeys((*keys, *order, *needs))]
+
+    class Generator:
+        def __init__(self):
+            self._made = factory()
+
+        @staticmethod
+        def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable:
+                raise ValueError("the generator takes a table: pass df.asTable()")
+            missing = [c for c in named if c not in rows.dataType.fieldNames()]
+            if missing:
+                raise ValueError(f"the generator needs the columns {missing}")
+            return AnalyzeResult(
+                schema=result,
+                partitionBy=[PartitioningColumn(f"`{k}`") for k in keys],
+                orderBy=[OrderingColumn(f"`{c}`") for c in order],
+                select=[SelectedColumn(f"`{c}`") for c in named],
+            )
+
+        def eval(self, row: Row):
+            yield from self._made.add(row)
+
+        def terminate(self):
+            yield from self._made.finish()
+
+    return F.udtf(Generator)

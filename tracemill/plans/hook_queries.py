@@ -117,3 +117,37 @@ def rollout_udtf(spark, sf_dir):
 
     vectors = inputs.table(spark, sf_dir, "embeddings").select("vec_id", "label")
     return hooks.generate_rollouts(vectors, Generate, "label").drop("label")
+
+
+class _Standing:
+    """Per rollout of an example its states and reward, beside the reward of the rollouts before it."""
+
+    def __init__(self):
+        self.now, self.before = None, 0
+
+    def add(self, row):
+        if self.now is None or row.rollout_id != self.now[1]:
+            yield from self.finish()
+            self.now = [row.example_id, row.rollout_id, 0, 0]
+        self.now[2] += 1
+        self.now[3] += int(row.reward)
+
+    def finish(self):
+        if self.now is not None:
+            yield (*self.now, self.before)
+            self.before += self.now[3]
+
+
+@query(
+    f"""with {O.TRAJECTORIES},
+    own as (select example_id, rollout_id, count(*) as states, sum(reward)::bigint as reward from trajectories group by 1, 2)
+    select *, coalesce(sum(reward) over (partition by example_id order by rollout_id rows between unbounded preceding and 1 preceding), 0)::bigint as before
+    from own"""
+)
+def rollout_udtf_partitioned(spark, sf_dir):
+    """A generator that sees all states of an example in order, and emits a row per rollout."""
+    states = inputs.trajectories(spark, sf_dir).select("example_id", "rollout_id", "step_id", "reward")
+    made = hooks.generator_per_example(
+        _Standing, "example_id long, rollout_id int, states long, reward long, before long", needs=("reward",)
+    )
+    return made(states.asTable())
