@@ -190,3 +190,36 @@ def test_streamed_grading(spark, tmp_path):
     run()
     got = sorted((r.example_id, r.final_text, r.label) for r in spark.read.parquet(out).collect())
     assert got == [(1, "answer is 4", 1.0), (2, "\\boxed{5}", 1.0), (2, "answer is 4", 0.0)]
+
+
+ARRAY = "a string, n int, deep struct<x: array<struct<y: string>>>"
+
+
+@pytest.mark.parametrize("size", ["331b", "1m"])
+def test_json_arrays_across_splits(spark, tmp_path, size):
+    texts = ['plain', 'b{r}a[c]e}s', 'quo\\"te', 'back\\\\', '\\\\"}{', 'é😀}', '', ',[', 'line\nbreak"', '}}}}', None]
+    records = [{"a": t, "n": i, "deep": {"x": [{"y": u}, {"y": "]"}]}} for i, (t, u) in enumerate(zip(texts, reversed(texts)))]
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    (folder / "one.json").write_text(json.dumps(records))
+    (folder / "two.json").write_text("\n " + json.dumps(records, indent=2, ensure_ascii=False) + " \n")
+    (folder / "three.json").write_text(" [ ] ")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = readers.read_json_array(spark, str(folder), ARRAY).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    found = sorted(json.dumps(r.asDict(recursive=True), sort_keys=True) for r in got)
+    assert found == sorted(json.dumps(r, sort_keys=True) for r in records * 2)
+
+
+@pytest.mark.parametrize("text", ['{"a": "x"}', '[{"a": "x"}', '[{"a": "x"}, 3]', '[{"a": "x"} {"a": "y"}]'])
+def test_files_that_hold_no_json_list_of_objects(spark, tmp_path, text):
+    path = tmp_path / "f.json"
+    path.write_text(text)
+    if text:
+        with pytest.raises(Exception, match="JSON list"):
+            readers.read_json_array(spark, str(path), ARRAY).collect()

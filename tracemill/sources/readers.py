@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.answers import target_array
-from ..functions.text import is_blank, strip
+from ..functions.text import is_blank
 from . import schemas
+from .json_array import read_json_array  # noqa: F401
 from .shards import read_shards  # noqa: F401  (a source like the others)
 
 
@@ -33,16 +34,6 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Files that each hold one JSON array. Fails when a file's top level is anything else."""
-    lines = _located_lines(spark, path).filter(~is_blank("value"))
-    first = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "id")).alias("value"))
-    bad = first.filter(~strip("value").startswith("[")).select("file").first()
-    if bad:
-        raise ValueError(f"expected {bad[0]} to contain a JSON list")
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-
-
 def _located_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(
         "value",
