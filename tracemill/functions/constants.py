@@ -35,7 +35,6 @@ SAMPLE_NOISE = 0.3
 CONDITION_DROP_PROB = 0.1
 BANDWIDTH_OFFSET = 1e-6
 MAX_QUESTION_TOKENS = 512
-MAX_TEXT_TOKENS = 5120
 FIRST_ROWS_DENOMINATOR = 200
 MIN_TOKENS_FOR_LM = 64
 # End of fixed values --------------------------------------------------------
