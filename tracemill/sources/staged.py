@@ -30,3 +30,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_buckets(df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+    """The same as files of `buckets` buckets by the hash of a column: what is read back needs no exchange to
+    be grouped, windowed or joined by it. Moves no rows itself, so a task writes a file per bucket it has rows
+    of. The catalog holds the table only until it is read back."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"tracemill_{path.rsplit('-', 1)[1]}"
+    writer = df.write.format("parquet").bucketBy(buckets, by).option("compression", "zstd")
+    writer.option("path", path).saveAsTable(table)
+    staged = spark.table(table)
+    spark.sql(f"drop table {table}")  # the files stay, and `staged` names them
+    return staged
