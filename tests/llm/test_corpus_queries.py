@@ -106,12 +106,14 @@ def repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_suffix_dedup(spark, documents, hot, monkeypatch):
+@pytest.mark.parametrize("hot, crowded", [(4096, 4096), (1, 4096), (4096, 0), (4096, 3)])
+def test_suffix_dedup(spark, documents, hot, crowded):
     from tracemill.llm import suffix_dedup
 
     expected = repeats([(i, t.encode()) for i, t in zip(documents.doc_id, documents.text)])
-    got = suffix_dedup.remove_repeats(spark.read.parquet(f"{SF}/documents.parquet"), hot_blocks=hot).toPandas()
+    got = suffix_dedup.remove_repeats(
+        spark.read.parquet(f"{SF}/documents.parquet"), hot_blocks=hot, hot_pieces=crowded
+    ).toPandas()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.itertuples()} == expected
     assert got.n_removed.sum() > 0
 

@@ -390,6 +390,39 @@ def test_suffix_dedup_of_odd_rows(odd, empty):
     assert rows(suffix_dedup.remove_repeats(empty)) == []
 
 
+def test_anchors_do_not_depend_on_chunks(monkeypatch):
+    draw = random.Random(6)
+    data = bytes(draw.choice(b"ab") for _ in range(3000)) + b"x" * 300
+    whole = suffix_dedup.Pieces(data, [1000, 3300])
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", 37)
+    parts = suffix_dedup.Pieces(data, [1000, 3300])
+    for name in ("doc", "at", "first", "last", "anchor", "content", "left", "right"):
+        assert (getattr(whole, name) == getattr(parts, name)).all()
+    inside = (whole.at >= whole.last) & (whole.at <= whole.first + suffix_dedup.WIDTH - 1)
+    assert inside.all() and len(whole.at) > 100
+
+
+def test_line_that_most_documents_hold(spark, make_docs):
+    line = "subscribe to our newsletter and never miss a single update"
+    texts = [f"own words {i} of document {i * i}\n{line}\nmore words {i * 7}, and the end" for i in range(400)]
+    docs = make_docs([(i, t, "en", "s") for i, t in enumerate(texts)])
+    plain = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in rows(suffix_dedup.remove_repeats(docs))}
+    crowded = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in rows(suffix_dedup.remove_repeats(docs, hot_pieces=20))}
+    seen = set()
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        windows = [raw[k : k + 50] for k in range(len(raw) - 49)]
+        gone = bytearray(len(raw))
+        for k, w in enumerate(windows):
+            if w in seen:
+                gone[k : k + 50] = b"\1" * 50
+        seen.update(windows)
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        assert plain[i][0] == crowded[i][0] == sum(gone) and plain[i][2] == crowded[i][2] == hashlib.sha256(kept).hexdigest()
+    assert sum(n > 0 for n, _, _ in plain.values()) == 399
+    assert not [t for t in spark.catalog.listTables() if "blocks" in t.name]
+
+
 def test_one_repeated_byte(make_docs):
     got = {r.doc_id: r for r in rows(suffix_dedup.remove_repeats(make_docs([(1, "a" * 70, "en", "s"), (2, "b" + "a" * 300 + "c", "en", "s"), (3, "a" * 49, "en", "s")])))}
     assert (got[1].n_removed, got[2].n_removed, got[2].n_spans, got[3].n_removed) == (0, 300, 1, 0)
