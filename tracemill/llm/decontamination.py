@@ -10,7 +10,9 @@ such length (at most window - 1 of them). Documents are shuffled at most once, a
 words to the few that have a fingerprint in common.
 
 Nulls and edges: a null text has no words; a null item id counts as a hit but has no name to list;
-rows that repeat give repeated results.
+rows that repeat give repeated results. A text is compared whole, as one row, whatever its length. An empty table of
+documents gives an empty result, an empty benchmark hits nothing. Only the named columns are read; rows that are kept
+keep all their columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ by a hash of their text; every page is then decoded whole. If the sample has no
 nothing to fit, and a node's probability is what its tokens say.
 
 Nulls and edges: null html is an empty page with empty text; text outside any element belongs to the
-page's body; unclosed tags, comments and quotes end with the page; rows that repeat give repeated rows.
+page's body; unclosed tags, comments and quotes end with the page; rows that repeat give repeated rows. A page is
+parsed whole, in one task, whatever its length; an empty table gives an empty result. Only the named columns are
+read, so further ones of any name change nothing.
 """
 
 from __future__ import annotations

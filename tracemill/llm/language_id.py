@@ -8,7 +8,9 @@ one that labels most of its letters, its score their share.
 
 Nulls and edges: a text that is null or has no letter is `und` with score 0 and no spans; documents
 without label or id teach nothing; ties go to the first language in order; without any labelled document
-everything is `und`; rows that repeat count as often as they occur.
+everything is `und`; rows that repeat count as often as they occur. Every word of a text is
+scored, whatever its length; an empty table gives an empty result. Only the named columns are read, so further ones of
+any name change nothing.
 """
 
 from __future__ import annotations

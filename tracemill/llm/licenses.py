@@ -13,7 +13,8 @@ one bit per hash value of 20 bits and hence of fixed size); the join decides. Te
 thousand runs; the optimizer broadcasts their table only if it is small enough.
 
 Nulls and edges: a null text is empty, has no words and no label; rows that repeat are scanned row by
-row; a null id is carried along.
+row; a null id is carried along. A text is scanned whole, in one task, whatever its length; an empty table gives an
+empty result. Only the two named columns are read, so further ones of any name change nothing.
 """
 
 from __future__ import annotations

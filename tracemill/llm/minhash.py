@@ -12,7 +12,9 @@ matrix products and returns only links that join components. No candidate is dro
 group is ever written, and a bucket that holds a third of all documents is spread over tasks.
 
 Nulls and edges: a text without words, or null, has an empty set and links with nothing; a null id is
-the last choice for representing its group; rows that repeat are members of one group.
+the last choice for representing its group; rows that repeat are members of one group. A text's set is built and
+compared whole, whatever its length; an empty table gives an empty result. Only the named columns are read;
+rows that are kept keep all their columns, whatever their names.
 """
 
 from __future__ import annotations

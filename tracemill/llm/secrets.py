@@ -5,7 +5,8 @@ that few hold looks like somebody's live credential. Candidate hashes are aggreg
 corpus for that. Only built-in expressions are used; texts are not shuffled to find spans.
 
 Nulls and edges: a null text is empty; a null owner or repository counts as one value; rows that
-repeat are judged alike, each keeping its own row; other columns are not looked at.
+repeat are judged alike, each keeping its own row; other columns are not looked at, whatever their names. A
+text is searched whole, as one row, whatever its length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
