@@ -86,7 +86,7 @@ def superstep(state: DataFrame, most: int) -> DataFrame:
     sweeps are small sorts."""
     gap = F.col("kind") == "gap"
     everywhere = Window.partitionBy()
-    found = state.withColumn("shortest", F.min(F.when(~gap, F.col("size"))).over(everywhere)).filter(
+    found = state.coalesce(1).withColumn("shortest", F.min(F.when(~gap, F.col("size"))).over(everywhere)).filter(
         ~gap | (F.col("size") >= F.col("shortest"))
     )
     # A class with more documents than gaps that hold one goes in bundles of equal documents.
@@ -109,7 +109,7 @@ def superstep(state: DataFrame, most: int) -> DataFrame:
     found = found.withColumn("rest", F.least("high", F.coalesce(F.min("high").over(after), F.col("high"))))
     # Slots that an event gives to documents or takes from gaps: [low, end).
     found = found.withColumn("low", F.when(gap, F.greatest("base", "rest")).otherwise(F.col("high")))
-    found = save(found.withColumn("end", F.when(gap, F.col("high")).otherwise(F.col("base"))).coalesce(1), "sweep")
+    found = save(found.withColumn("end", F.when(gap, F.col("high")).otherwise(F.col("base"))), "sweep").coalesce(1)
 
     # Slots cut at all ends of events; within a cell the events alternate: a gap, the document that takes it.
     ends = found.filter("low < end").select("*", F.explode(F.array("low", "end")).alias("cut"))
@@ -122,7 +122,7 @@ def superstep(state: DataFrame, most: int) -> DataFrame:
     before = Window.partitionBy("cell").orderBy("at")
     pairs = cells.withColumn("gap", F.lag(F.struct("at", "size", "first", "base")).over(before)).filter("kind = 'doc'")
     # The cells of one document class in one run of gaps follow one another.
-    met = pairs.join(cuts, "cell").groupBy(*names, "gap").agg(F.min("low").alias("low"), F.max("end").alias("end"))
+    met = pairs.join(cuts.hint("merge"), "cell").groupBy(*names, "gap").agg(F.min("low").alias("low"), F.max("end").alias("end"))
     runs = met.select(
         F.lit("run").alias("kind"),
         "size",
@@ -162,7 +162,8 @@ def best_fit(counted: DataFrame, most: int) -> DataFrame:
         top = F.coalesce(F.max(F.when(F.col("kind") == "gap", F.col("size"))).over(Window.partitionBy()), F.lit(0))
         doc, tall = F.col("kind") == "doc", F.col("size") > F.col("top")
         left, alone, tokens_left = (
-            step.withColumn("top", top)
+            step.coalesce(1)
+            .withColumn("top", top)
             .agg(
                 F.sum(F.when(doc, F.col("n"))),
                 F.sum(F.when(doc & tall & (2 * F.col("size") > most), F.col("n"))),
@@ -179,7 +180,7 @@ def best_fit(counted: DataFrame, most: int) -> DataFrame:
             values = {"kind": "gap", "size": most, "first": opened, "n": more}
             state = state.union(spark.range(1).select(*[F.lit(values.get(c)).cast(t).alias(c) for c, t in STATE]))
             opened += more
-        step = save(superstep(state, most).coalesce(1), "step")
+        step = save(superstep(state, most), "step")
         steps.append(step.filter("kind = 'run'"))
     return reduce(DataFrame.union, steps, step.filter("kind = 'run'").limit(0))
 
