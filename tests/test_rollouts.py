@@ -167,3 +167,16 @@ def test_generator_sees_whole_examples(spark):
     assert sorted(r.n for r in got if r.what == "row" and r.example_id == 2) == list(range(1, 5001))
     with pytest.raises(Exception, match="needs the columns"):
         made(df.drop("step_id").asTable()).collect()
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grading_broadcasts_neither_side(spark):
+    examples = spark.createDataFrame([(1, ["4"]), (2, [None, "7"])], "example_id long, target array<string>")
+    texts = spark.createDataFrame([(1, "so 4"), (1, "5"), (2, "#### 7.0"), (3, "1")], "example_id long, final_text string")
+    graded = rollouts.grade_against(rollouts.replicate(rollouts.spread(texts, "example_id"), 2), examples)
+    assert "Broadcast" not in physical(graded)
+    got = sorted((r.example_id, r.final_text, r.draw_id, r.label) for r in graded.collect())
+    assert got == [(e, t, d, x) for e, t, x in ((1, "5", 0.0), (1, "so 4", 1.0), (2, "#### 7.0", 1.0)) for d in (0, 1)]
