@@ -204,3 +204,14 @@ def test_digits_of_any_script(spark):
     df = spark.createDataFrame([("٣",), ("१२.५",), ("３/４",), ("x",)], "t string")
     assert [r.n for r in df.select(A.to_number("t").alias("n")).collect()] == [3.0, 12.5, 0.75, None]
     assert df.select(A.answers_match(F.lit("٣"), F.array(F.lit("3"))).alias("m")).first().m
+
+
+def test_plain_integers_take_the_short_way_and_others_do_not(spark):
+    texts = ["0", "-0", "007", "-12", "+12", "999999999999999", "1234567890123456", "12\n", "1,234", "٣", "So \\boxed{12}", "ÀB c", None]
+    want = ["0", "0", "7", "-12", "12", "999999999999999", "1234567890123456", "12", "1234", "3", "12", "àb c", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = df.select("i", A.normalize_answer("t").alias("n"), A.normal_form("t").alias("f"), A.normal_form("t")["normal"].alias("only")).orderBy("i").collect()
+    assert [r.n for r in rows] == [r.f.normal for r in rows] == [r.only for r in rows] == want
+    assert [r.f.number for r in rows][:11] == [0, 0, 7, -12, 12, 999999999999999, 1234567890123456, 12, 1234, 3, 12]
+    plan = df.select(A.normalize_answer("t").alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[1-9][0-9]{0,14}" in plan  # and not every step for a text that is its own normal form
