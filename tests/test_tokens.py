@@ -85,3 +85,14 @@ def test_condition_dropout(spark):
     assert got == [[1, 9, 9, 5, 6], [1, 5, 6], [1, 2, 3], [5, 1]]
     kept = [r.d for r in df.select(K.drop_condition("i", 5, 9, 1, F.lit(0), prob=0.0).alias("d")).collect()]
     assert kept[0] == [1, 2, 3, 5, 6]
+
+
+def test_tokenizer_is_given_a_few_characters_at_a_time(spark):
+    from tracemill.operators import hooks
+
+    def factory():
+        return lambda texts: [None if t is None else [len(texts), len(t)] for t in texts]
+
+    df = spark.createDataFrame([(i, None if i == 3 else "x" * (100 if i == 5 else 4)) for i in range(8)], "i int, t string").coalesce(1)
+    got = [r.ids for r in df.select("i", hooks.tokenize("t", factory, most_chars=8).alias("ids")).orderBy("i").collect()]
+    assert got == [[2, 4], [2, 4], [3, 4], None, [3, 4], [1, 100], [2, 4], [2, 4]]

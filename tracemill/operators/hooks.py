@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import Row, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn
@@ -50,14 +50,30 @@ def map_batches(
     return df.mapInPandas(run, schema)
 
 
-def tokenize(text, factory: Callable[[], Callable[[list[str]], Iterable[list[int]]]]) -> Column:
-    """Token ids from a user tokenizer. `factory` returns a callable from texts to id lists."""
-
-    @pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def tokenize(text, factory: Callable[[], Callable[[list[str]], Iterable[list[int]]]], most_chars: int = 1 << 20) -> Column:
+    """Token ids from a user tokenizer. `factory` returns a callable from texts to id lists. It is given a few texts at
+    a time, up to `most_chars` characters (or one longer text), and their ids are packed before the next ones:
+    Python lists of ids take many times the bytes of the texts."""
+    kind = pa.list_(pa.int32())
+
+    def slices(texts: pa.Array) -> Iterator[list[str]]:
+        part, chars = [], 0
+        for one in texts:
+            value = one.as_py()
+            if part and chars + len(value or "") > most_chars:
+                yield part
+                part, chars = [], 0
+            part.append(value)
+            chars += len(value or "")
+        if part:
+            yield part
+
+    @arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = factory()
         for texts in batches:
-            yield pd.Series(list(tokenizer(list(texts))), dtype=object)
+            packed = [pa.array([None if r is None else list(r) for r in tokenizer(part)], kind) for part in slices(texts)]
+            yield pa.concat_arrays(packed) if packed else pa.array([], kind)
 
     return ids(as_column(text))
 
