@@ -180,3 +180,26 @@ def test_grading_broadcasts_neither_side(spark):
     assert "Broadcast" not in physical(graded)
     got = sorted((r.example_id, r.final_text, r.draw_id, r.label) for r in graded.collect())
     assert got == [(e, t, d, x) for e, t, x in ((1, "5", 0.0), (1, "so 4", 1.0), (2, "#### 7.0", 1.0)) for d in (0, 1)]
+
+
+def test_velocity_of_odd_vectors_in_either_window(spark):
+    rows = [(1, 0, 0, [1.0, 2.0]), (1, 0, 1, [1.5, None]), (1, 0, 2, [1.0]), (1, 0, 3, None), (1, 0, 4, [2.0, 0.0]), (2, 0, 0, [3.0, 4.0]), (2, 0, 1, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "example_id int, rollout_id int, step_id int, latent array<double>")
+    want = [([-5.0, None], None), ([5.0, None], None), (None, None), (None, None), (None, None), ([30.0, 40.0], 50.0), (None, None)]
+    for chunk in (None, 2):
+        got = latents.step_velocity(df, 10, chunk=chunk).orderBy("example_id", "step_id").collect()
+        assert [(r.velocity, r.velocity_norm) for r in got] == want
+
+
+def test_trajectories_are_sorted_before_they_get_their_latent(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    from tracemill.plans import rollout_queries
+
+    for query in (rollout_queries.step_velocity, rollout_queries.median_bandwidth, rollout_queries.repulsion, rollout_queries.mean_reward_by_step):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+        try:
+            plan = physical(query(spark, sf_dir)).splitlines()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        wide = [i for i, line in enumerate(plan) if "BroadcastHashJoin [vec_id" in line][0]  # the first in the plan: all above is wide
+        assert not any("Sort [" in line or "hashpartitioning(vec_id" in line for line in plan[:wide])

@@ -34,14 +34,18 @@ def step_velocity(
     rollout_key: tuple[str, ...] = ("example_id", "rollout_id"),
     step: str = "step_id",
     latent: str = "latent",
-    chunk: int = 64,
+    chunk: int | None = 64,
 ) -> DataFrame:
     """Append velocity (state minus next state, over the sigma gap 1/steps) and its norm; null for
     the last state.
 
     Rollouts are windowed in chunks of steps. The first state of a chunk is also sent to the chunk
-    before it, so that a rollout of any length spreads over tasks.
+    before it, so that a rollout of any length spreads over tasks. Without chunks (for rollouts of few steps)
+    nothing is copied, and rows that lie sorted by rollout and step are not sorted again.
     """
+    if chunk is None:
+        whole = F.lead(latent).over(Window.partitionBy(*rollout_key).orderBy(step))
+        return _velocity(log.filter(F.col(step).isNotNull()).withColumn("__next", whole), steps, latent).drop("__next")
     home = F.floor(F.col(step) / chunk)
     is_border = (F.col(step) % chunk == 0) & (F.col(step) > 0)
     copies = log.withColumn("__home", home).withColumn(
@@ -52,11 +56,15 @@ def step_velocity(
     )
     following = F.lead(latent).over(Window.partitionBy(*rollout_key, "__chunk").orderBy(step))
     paired = copies.withColumn("__next", following).filter("__home = __chunk")
+    return _velocity(paired, steps, latent).drop("__home", "__chunk", "__next")
+
+
+def _velocity(paired: DataFrame, steps: int, latent: str) -> DataFrame:
     velocity = F.zip_with(
         latent, "__next", lambda x, y: (x.cast("double") - y.cast("double")) * F.lit(float(steps))
     )
     moved = paired.withColumn("velocity", F.when(F.col("__next").isNotNull(), velocity))
-    return moved.withColumn("velocity_norm", V.l2_norm("velocity")).drop("__home", "__chunk", "__next")
+    return moved.withColumn("velocity_norm", V.l2_norm("velocity"))
 
 
 def overall_mse(pairs: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:
