@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import vectors as V
 from tracemill.operators import diversity, evaluate, hooks, latents, rollouts
+from tracemill.operators.numbering import natural_order
 
 
 def test_best_of_n_first_on_ties(spark):
@@ -203,3 +204,37 @@ def test_trajectories_are_sorted_before_they_get_their_latent(spark):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         wide = [i for i, line in enumerate(plan) if "BroadcastHashJoin [vec_id" in line][0]  # the first in the plan: all above is wide
         assert not any("Sort [" in line or "hashpartitioning(vec_id" in line for line in plan[:wide])
+
+
+def test_scorer_batches_move_no_latent(spark):
+    import __spark_entry__ as entry
+
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(entry.queries()["scorer_batches"](spark, "/root/testdata/sf0.001")).split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    dealt = [below for node, below in zip(plan, plan[1:]) if " Exchange " in node and "REPARTITION_BY_NUM" not in node]
+    assert dealt and not [x for x in dealt if "latent#" in x and "partial_" not in x]
+    sorts = [below for node, below in zip(plan, plan[1:]) if "Sort [" in node and "latent#" in below]
+    assert len(sorts) <= 1  # where the pointers lie; the plan's pairs need none
+
+
+def test_questions_become_ids_before_states_multiply_them(spark):
+    from tracemill.operators import scorer
+
+    asked = spark.createDataFrame([(1, None, "a b c d"), (2, "x y", "z"), (3, None, None)], "e int, input string, question string")
+    split = lambda q: F.transform(F.split(q, " "), lambda w: F.length(w))
+    states = spark.createDataFrame([(e, "s", i, None, 1) for i, e in enumerate((1, 1, 2, 3))], "e int, shard string, row int, timestep int, label int")
+    stored = spark.createDataFrame([("s", i, [float(i)]) for i in range(4)], "shard string, row int, latent array<double>")
+    late = scorer.scorer_rows(states.join(asked, "e"), stored, split, max_tokens=3)
+    early = scorer.scorer_rows(states.join(scorer.question_ids(asked, split, max_tokens=3), "e"), stored)
+    columns = ["e", "row", "input_ids", "timestep", "label", "latent"]
+    want = [(1, 0, [1, 1, 1]), (1, 1, [1, 1, 1]), (2, 2, [1, 1]), (3, 3, [0])]
+    for got in (late, early):
+        assert sorted(map(tuple, got.select(columns).collect())) == [(e, i, ids, 0.0, 1.0, [float(i)]) for e, i, ids in want]
+    with pytest.raises(ValueError, match="input_ids"):
+        scorer.scorer_rows(states, stored)
+    rows = [(e, i, batch.batch_id, batch.batch_row, batch.input_ids) for batch in scorer.scorer_batches(early, ["shard", "row"], natural_order(early, "row"), 2).collect() for e, i in [(batch.e, batch.row)]]
+    assert sorted(rows) == [(1, 0, 0, 0, [1, 1, 1]), (1, 1, 0, 1, [1, 1, 1]), (2, 2, 1, 0, [1, 1]), (3, 3, 1, 1, [0, 0])]

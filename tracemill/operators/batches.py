@@ -10,32 +10,35 @@ from .numbering import RowOrder, with_position
 
 
 def plan_batches(
-    rows: DataFrame, id_col: str, order: RowOrder, sizes: dict[str, str], batch_rows: int
+    rows: DataFrame, id_col: str | list[str], order: RowOrder, sizes: dict[str, str], batch_rows: int
 ) -> DataFrame:
     """id, batch_id, batch_row and, per named array column, the longest size in the batch. Only ids
     and lengths move; a batch window holds `batch_rows` rows."""
-    narrow = rows.select(id_col, *[F.size(array).alias(name) for name, array in sizes.items()])
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    narrow = rows.select(*ids, *[F.size(array).alias(name) for name, array in sizes.items()])
     placed = with_position(narrow, order, "__position")
     numbered = placed.select(
-        id_col,
+        *ids,
         F.floor(F.col("__position") / batch_rows).cast("long").alias("batch_id"),
         (F.col("__position") % batch_rows).cast("int").alias("batch_row"),
         *sizes,
     )
     batch = Window.partitionBy("batch_id")
-    return numbered.select(id_col, "batch_id", "batch_row", *[F.max(n).over(batch).alias(n) for n in sizes])
+    return numbered.select(*ids, "batch_id", "batch_row", *[F.max(n).over(batch).alias(n) for n in sizes])
 
 
 def pad_batches(
     rows: DataFrame,
-    id_col: str,
+    id_col: str | list[str],
     order: RowOrder,
     fills: dict[str, int],
     batch_rows: int,
     multiple: int | None = None,
 ) -> DataFrame:
     """Right-pad each array in `fills` (column -> fill value) to its batch maximum, optionally rounded
-    up to a multiple. Other columns pass through. The wide rows are shuffled once, to meet the plan."""
+    up to a multiple. Other columns pass through. The wide rows are shuffled once, to meet the plan. An id of
+    several columns spares them that: rows that lie by one of these and are sorted by all stay where they
+    are, and only the plan moves."""
     sizes = {f"__max_{c}": c for c in fills}
     plan = plan_batches(rows, id_col, order, sizes, batch_rows)
     padded = {c: pad_right(c, round_up(f"__max_{c}", multiple), fill) for c, fill in fills.items()}
