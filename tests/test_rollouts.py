@@ -170,6 +170,40 @@ def test_generator_sees_whole_examples(spark):
         made(df.drop("step_id").asTable()).collect()
 
 
+def test_generator_gets_packed_rows_one_by_one(spark):
+    class Sum:
+        def __init__(self):
+            self.rows = []
+
+        def add(self, row):
+            self.rows.append((row.rollout_id, row.step_id, row.what))
+            return [(row.example_id, "row", len(self.rows))] if row.step_id == 9 else ()
+
+        def finish(self):
+            return [(None, str(self.rows), len(self.rows))]
+
+    rows = [(e, r, s, None if s == 2 else [f"{r}"], 7) for e in (1, None) for r in (2, None, 1) for s in (3, 2, 9)] + [(2, 0, 9, ["x"], 7)]
+    df = spark.createDataFrame(rows * 2, "example_id int, rollout_id int, step_id int, what array<string>, other int").repartition(5)
+    made = hooks.generator_per_example(Sum, "example_id int, what string, n int", needs=("what",))
+    key = lambda x: str(tuple(x))
+    want = sorted(made(df.asTable()).collect(), key=key)
+    for most in (1, 4, 1024):
+        packed = hooks.pack_rows(df, needs=("what",), most=most)
+        assert packed.count() == 2 * -(-18 // most) + -(-2 // most) and "other" not in packed.columns
+        assert sorted(made(packed.asTable()).collect(), key=key) == want
+    with pytest.raises(Exception, match="needs the columns"):
+        made(hooks.pack_rows(df).asTable()).collect()
+
+
+def test_partitioned_generator_is_sent_packed_rows(spark):
+    import __spark_entry__ as entry
+
+    plan = physical(entry.queries()["rollout_udtf_partitioned"](spark, "/root/testdata/sf0.001"))
+    assert "collect_list" in plan.split("PythonUDTF")[1]
+    dealt = [x for x in plan.split("\n") if " Exchange hashpartitioning" in x and "REPARTITION_BY_NUM" not in x]
+    assert not dealt  # what lies by example stays
+
+
 def physical(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -6,11 +6,14 @@ Python worker task through a factory.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
+from keyword import iskeyword
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import Row, StructType
@@ -117,6 +120,39 @@ def generate_rollouts(examples: DataFrame, generator, *columns: str) -> DataFram
     return examples.lateralJoin(generator(*[F.col(c).outer() for c in columns]))
 
 
+_CHUNK, _ROWS = "__chunk", "__rows"
+
+
+def pack_rows(
+    df: DataFrame,
+    keys: tuple[str, ...] = ("example_id",),
+    order: tuple[str, ...] = ("rollout_id", "step_id"),
+    needs: tuple[str, ...] = (),
+    most: int = 1024,
+) -> DataFrame:
+    """The rows of an example, in the given order, as few rows of up to `most` each: an array per column. A table
+    function of `generator_per_example` that is given these spends its cost per row on a whole array. Rows that
+    lie by the keys are not shuffled; an example of any length becomes as many rows as it needs."""
+    packed = [c for c in dict.fromkeys((*order, *needs)) if c not in keys]
+    if not packed:
+        raise ValueError("there are no columns to pack")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    placed = df.select(*keys, *packed).withColumn("__place", place)
+    # Places are unique in an example, so sorting compares nothing else.
+    lists = F.sort_array(F.collect_list(F.struct("__place", *packed)))
+    grouped = placed.groupBy(*keys, F.floor(F.col("__place") / most).alias(_CHUNK)).agg(lists.alias(_ROWS))
+    return grouped.select(*keys, _CHUNK, *[F.col(_ROWS)[c].alias(c) for c in packed])
+
+
+def _record(names: list[str]) -> Callable:
+    """From values to a row with these names: a named tuple, or a Row if a name can't be an attribute."""
+    plain = all(n.isidentifier() and not iskeyword(n) and not n.startswith("_") for n in names)
+    if plain:
+        return namedtuple("Record", names)._make
+    made = Row(*names)
+    return lambda values: made(*values)
+
+
 def generator_per_example(
     factory: Callable[[], object],
     schema: StructType | str,
@@ -129,9 +165,13 @@ def generator_per_example(
     Spark sends the rows of one example, by `keys`, to one generator in the given order; an example of any length
     passes by row by row, and only what the generator keeps is held. `factory` makes a generator per example:
     `add(row)` and `finish()` return the rows to emit, as tuples of `schema`. A table without one of the
-    columns is refused when the query is analysed, and columns that are not named are not sent."""
+    columns is refused when the query is analysed, and columns that are not named are not sent.
+
+    A row sent to Python costs tens of microseconds. Of a table made by `pack_rows` with the same columns, Spark sends
+    an array of rows at a time, and the generator still gets them one by one, as named tuples."""
     result = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     named = [*dict.fromkeys((*keys, *order, *needs))]
+    record = _record(named)
 
     class Generator:
         def __init__(self):
@@ -144,15 +184,24 @@ def generator_per_example(
             missing = [c for c in named if c not in rows.dataType.fieldNames()]
             if missing:
                 raise ValueError(f"the generator needs the columns {missing}")
+            chunked = _CHUNK in rows.dataType.fieldNames()
             return AnalyzeResult(
                 schema=result,
                 partitionBy=[PartitioningColumn(f"`{k}`") for k in keys],
-                orderBy=[OrderingColumn(f"`{c}`") for c in order],
-                select=[SelectedColumn(f"`{c}`") for c in named],
+                orderBy=[OrderingColumn(f"`{c}`") for c in ([_CHUNK] if chunked else order)],
+                select=[SelectedColumn(f"`{c}`") for c in ([*named, _CHUNK] if chunked else named)],
             )
 
         def eval(self, row: Row):
-            yield from self._made.add(row)
+            if _CHUNK not in row.__fields__:
+                yield from self._made.add(row)
+                return
+            values = dict(zip(row.__fields__, row))
+            columns = [repeat(values[c]) if c in keys else values[c] for c in named]
+            add = self._made.add
+            for one in map(record, zip(*columns)):
+                if made := add(one):
+                    yield from made
 
         def terminate(self):
             yield from self._made.finish()

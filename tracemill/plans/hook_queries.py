@@ -126,16 +126,20 @@ class _Standing:
         self.now, self.before = None, 0
 
     def add(self, row):
-        if self.now is None or row.rollout_id != self.now[1]:
-            yield from self.finish()
-            self.now = [row.example_id, row.rollout_id, 0, 0]
-        self.now[2] += 1
-        self.now[3] += int(row.reward)
+        done, now = (), self.now
+        if now is None or row.rollout_id != now[1]:
+            done = self.finish()
+            self.now = now = [row.example_id, row.rollout_id, 0, 0]
+        now[2] += 1
+        now[3] += int(row.reward)
+        return done
 
     def finish(self):
-        if self.now is not None:
-            yield (*self.now, self.before)
-            self.before += self.now[3]
+        if self.now is None:
+            return ()
+        made = (*self.now, self.before)
+        self.before += self.now[3]
+        return (made,)
 
 
 @query(
@@ -145,9 +149,9 @@ class _Standing:
     from own"""
 )
 def rollout_udtf_partitioned(spark, sf_dir):
-    """A generator that sees all states of an example in order, and emits a row per rollout."""
+    """A generator that sees all states of an example in order, and emits a row per rollout. They are sent packed."""
     states = inputs.trajectories(spark, sf_dir).select("example_id", "rollout_id", "step_id", "reward")
     made = hooks.generator_per_example(
         _Standing, "example_id long, rollout_id int, states long, reward long, before long", needs=("reward",)
     )
-    return made(states.asTable())
+    return made(hooks.pack_rows(states, needs=("reward",)).asTable())
