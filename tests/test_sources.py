@@ -153,6 +153,20 @@ def test_pointer_join_reads_shards_where_they_lie(spark, tmp_path, monkeypatch,
         readers.read_shards(spark, str(tmp_path / "nothing"))
 
 
+def test_shards_take_latents_where_they_lie(spark, tmp_path, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i), -1.0]) for i in range(3)], "vec_id int, latent array<double>")
+    facts = spark.range(40).selectExpr("id div 10 as shard_id", "'s' || (id div 10) as shard", "cast(id % 10 as int) as row", "cast(id % 4 as int) as vec_id", "id")
+    path, plans, store = str(tmp_path / "shards"), [], shards._store
+    monkeypatch.setattr(shards, "_store", lambda df, *rest: plans.append(_plan(df)) or store(df, *rest))
+    attach = lambda dealt: dealt.join(F.broadcast(vectors), "vec_id").drop("vec_id")
+    assert writers.write_shards(facts, path, buckets=3, widen=attach) == 30
+    assert plans[0].index("BroadcastHashJoin") < plans[0].index("Exchange hashpartitioning(shard")
+    metadata, latents = readers.read_shards(spark, path)
+    back = rollouts.resolve_latents(metadata, latents)
+    assert sorted((r.id, r.shard, r.row, r.latent[0]) for r in back.collect()) == [(i, f"s{i // 10}", i % 10, i % 4) for i in range(40) if i % 4 < 3]
+    shards.detach_shards(spark, path)
+
+
 def test_rollout_files_with_mixed_fields(spark, tmp_path):
     meta, log = tmp_path / "m.jsonl", tmp_path / "l.jsonl"
     base = {"example_id": 1, "rollout_id": 0, "step_id": 0, "input": "q", "timestep": 999.0, "label": 1.0,

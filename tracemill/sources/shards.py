@@ -13,6 +13,7 @@ file has some hundred megabytes.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -53,7 +54,7 @@ def _store(df: DataFrame, path: str, part: str, buckets: int) -> tuple[str, int]
     seen, name = Observation(), _table_name(path, f"new_{part}")
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     writer = counted.write.partitionBy("shard_group").bucketBy(buckets, "shard").sortBy("shard", "row")
-    writer.option("path", f"{path}/{part}").saveAsTable(name)
+    writer.option("compression", "zstd").option("path", f"{path}/{part}").saveAsTable(name)
     df.sparkSession.sql(f"drop table {name}")  # the files stay
     columns = StructType([f for f in df.schema if f.name != "shard_group"])
     return columns.toDDL(), seen.get["rows"]
@@ -65,16 +66,19 @@ def write_shards(
     latent: str = "latent",
     buckets: int | None = None,
     shards_per_group: int = SHARDS_PER_GROUP,
+    widen: Callable[[DataFrame], DataFrame] | None = None,
 ) -> int:
     """Facts with shard_id, shard and row as the two tables; the number of rows. Fails when the folder holds
     shards already. Rows are shuffled once, to their bucket; `buckets` is Spark's shuffle partitions otherwise.
-    The folder counts as written when its layout stands, which is last."""
+    `widen` is applied to rows that lie in their bucket, and should leave them there: a latent that it looks up is
+    written without having been shuffled. The folder counts as written when its layout stands, which is last."""
     spark, path = facts.sparkSession, path.rstrip("/")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if _layout(spark, path) is not None:
         raise FileExistsError(f"shards in {path} already exists")
     placed = facts.withColumn("shard_group", F.expr(f"shard_id div {shards_per_group}")).drop("shard_id")
-    latents, _ = _store(placed.repartition(buckets, "shard"), path, "latents", buckets)
+    dealt = placed.repartition(buckets, "shard")
+    latents, _ = _store(widen(dealt) if widen else dealt, path, "latents", buckets)
     # What was written is what is pointed at, even if the facts would come out otherwise again. It lies by
     # bucket, so nothing is shuffled.
     written = _attach(spark, path, "latents", latents, buckets)
