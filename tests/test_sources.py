@@ -167,6 +167,34 @@ def test_shards_take_latents_where_they_lie(spark, tmp_path, monkeypatch):
     shards.detach_shards(spark, path)
 
 
+@pytest.mark.parametrize("hashed", [0, 1_000_000])
+def test_shards_store_a_vector_once_that_many_states_point_to(spark, tmp_path, monkeypatch, hashed):
+    monkeypatch.setattr(shards, "HASHED_ROWS", hashed)
+    # One vector is null, one comes twice, and some pointers lead nowhere.
+    rows = [(0, [0.5, 1.0]), (1, None), (2, [2.0, 3.0]), (2, [4.0, 5.0]), (3, [6.0])]
+    vectors = spark.createDataFrame(rows, "vec_id int, latent array<float>")
+    facts = spark.range(400).selectExpr("id div 10 as shard_id", "'s' || (id div 10) as shard", "cast(id % 10 as int) as row", "cast(id % 5 as int) as vec_id", "id")
+    found = []
+    for path, more in ((str(tmp_path / "whole"), {}), (str(tmp_path / "pointed"), {"vectors": vectors})):
+        given = facts if more else facts.join(vectors, "vec_id").drop("vec_id")
+        assert writers.write_shards(given, path, buckets=3, shards_per_group=7, **more) == 400
+        metadata, latents = readers.read_shards(spark, path)
+        joined = rollouts.resolve_latents(metadata, latents)
+        found.append([sorted(map(repr, df.select(sorted(df.columns)).collect())) for df in (metadata, latents, joined)])
+        shards.detach_shards(spark, path)
+    assert found[0] == found[1] and len(found[0][2]) == 80 * 3 + 80 * 4
+    assert "latent" not in spark.read.parquet(f"{tmp_path}/pointed/latents").columns
+    assert spark.read.parquet(f"{tmp_path}/pointed/vectors").count() == len(rows)
+
+
+def test_pointer_join_stores_no_latent_per_state(spark):
+    from tracemill.plans import rollout_queries
+
+    path = rollout_queries._shard_folder(spark, SF)
+    assert "latent" not in spark.read.parquet(f"{path}/latents").columns
+    assert spark.read.parquet(f"{path}/latents").count() == 1500 * 48
+
+
 def test_rollout_files_with_mixed_fields(spark, tmp_path):
     meta, log = tmp_path / "m.jsonl", tmp_path / "l.jsonl"
     base = {"example_id": 1, "rollout_id": 0, "step_id": 0, "input": "q", "timestep": 999.0, "label": 1.0,
