@@ -272,3 +272,46 @@ def test_questions_become_ids_before_states_multiply_them(spark):
         scorer.scorer_rows(states, stored)
     rows = [(e, i, batch.batch_id, batch.batch_row, batch.input_ids) for batch in scorer.scorer_batches(early, ["shard", "row"], natural_order(early, "row"), 2).collect() for e, i in [(batch.e, batch.row)]]
     assert sorted(rows) == [(1, 0, 0, 0, [1, 1, 1]), (1, 1, 0, 1, [1, 1, 1]), (2, 2, 1, 0, [1, 1]), (3, 3, 1, 1, [0, 0])]
+
+
+def test_scorer_batches_are_numbered_where_the_shards_lie(spark):
+    import __spark_entry__ as entry
+
+    plan = physical(entry.queries()["scorer_batches"](spark, "/root/testdata/sf0.001"))
+    assert "rangepartitioning" not in plan  # nothing is sampled, ranged and sent back
+    assert "SortMergeJoin [shard" in plan and "Sort [shard" not in plan  # sorted once, when they were dealt
+    states = [line for line in plan.split("\n") if "Generate explode" in line and "sequence(0, 7" in line]
+    assert not states  # states are not joined with their places: an example brings its rank along
+
+
+@pytest.mark.parametrize("batch_rows", [1, 3, 7, 100])
+@pytest.mark.parametrize("dealt", [True, False])
+def test_batches_of_runs_equal_batches_of_sorted_rows(spark, batch_rows, dealt):
+    from tracemill.operators import batches
+    from tracemill.operators.numbering import run_order
+
+    # Runs 2, 9 and 10 of other lengths, gaps in the rows, and ids that come twice.
+    ids = [("s2", r) for r in (0, 1, 5)] + [("s9", 3)] + [("s10", r) for r in range(11)] + [("s10", 4), ("s2", 5)]
+    rows = [(s, r, list(range(1 + r % 4)), f"{s}:{r}") for s, r in ids]
+    df = spark.createDataFrame(rows, "shard string, row int, ids array<int>, more string")
+    if dealt:
+        df = df.repartition(3, "shard").sortWithinPartitions("shard", "row")
+    number = F.regexp_extract("shard", r"(\d+)$", 1).cast("int")
+    natural = batches.pad_batches(df, ["shard", "row"], natural_order(df, number * 100 + F.col("row")), {"ids": -1}, batch_rows, 2)
+    order = run_order("shard", "row", lambda shard: F.regexp_extract(shard, r"(\d+)$", 1).cast("int"))
+    runs = batches.pad_batches(df, ["shard", "row"], order, {"ids": -1}, batch_rows, 2)
+    assert sorted(runs.columns) == sorted(natural.columns)
+    want, got = ([tuple(map(str, r)) for r in x.select(sorted(x.columns)).collect()] for x in (natural, runs))
+    assert sorted(got) == sorted(want) and len(got) == 13 + 2 * 4
+    with pytest.raises(ValueError, match="run and the row"):
+        batches.pad_batches(df, "row", order, {"ids": 0}, 2)
+
+
+def test_what_was_sorted_when_dealt_is_not_sorted_again(spark):
+    from tracemill.sources import staged
+
+    df = spark.range(500).selectExpr("cast(id % 7 as string) as shard", "cast(499 - id as int) as row")
+    left, right = (staged.stage_dealt(df, name, "shard", ("shard", "row")) for name in ("one", "two"))
+    joined = left.join(right.hint("merge"), ["shard", "row"])
+    assert "Sort [" not in physical(joined) and "Exchange" not in physical(joined)
+    assert joined.count() == 500

@@ -10,10 +10,14 @@ them, so buckets are uniform whatever the ids look like. Natural order leaves th
 to Spark: rows are range-partitioned and sorted once, written as a step, and the counts are
 those of its partitions. Nothing about the keys reaches the driver. Keys must be unique, as
 row positions are.
+
+The order of runs is for rows that lie in runs already, such as shards: all rows of a run are together, and the runs
+have an order of their own. Then only the counts of runs move, and rows are numbered where they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -32,6 +36,10 @@ class RowOrder:
     bucket: Column | None
     keys: tuple[Column, ...]
     partitions: int | None = None
+    #: In the order of runs: the column that names a row's run, the column that orders rows in it, and the order of names.
+    run: str | None = None
+    row: str | None = None
+    run_order: Callable[[Column], Column] | None = None
 
     @property
     def composite(self) -> Column:
@@ -51,6 +59,28 @@ def natural_order(df: DataFrame, key, buckets: int | None = None) -> RowOrder:
     return RowOrder(None, (key,), buckets)
 
 
+def run_order(run: str, row: str, order: Callable[[Column], Column]) -> RowOrder:
+    """Runs by `order` of the column `run`, rows of a run by the column `row`; neither is null. Nothing is shuffled but a
+    row per run where rows lie by `run`, and nothing is sorted where they are sorted by both."""
+    return RowOrder(None, (order(F.col(run)), F.col(row)), None, run, row, order)
+
+
+# Runs ------------------------------------------------------------------------
+
+
+def run_places(df: DataFrame, order: RowOrder, output: str) -> DataFrame:
+    """Append the position of the first of the rows that are equal in the order, and in `<output>_rows` how many are."""
+    counts = df.groupBy(order.run).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy(order.run_order(F.col(order.run)), order.run).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(order.run, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    along = Window.partitionBy(order.run).orderBy(order.row)
+    equal = F.count(F.lit(1)).over(along.rangeBetween(Window.currentRow, Window.currentRow))
+    ranked = df.withColumns({output: F.rank().over(along).cast("long") - 1, f"{output}_rows": equal})
+    # A row per run, hashed where the run lies: the rows stay in place and sorted.
+    met = ranked.join(starts.hint("shuffle_hash"), order.run)
+    return met.withColumn(output, F.col(output) + F.col("__start")).drop("__start")
+
+
 # Natural order ---------------------------------------------------------------
 
 
